@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.functions.heuristic import CJK_RANGES, SIGNS
-from loomspark.llm import encode, packing, split, tokens
+from loomspark.llm import encode, garbled, packing, split, tokens
 from loomspark.sources.tables import table
 
 #: Models that the token cube is made for.
@@ -22,6 +22,16 @@ def p1_cube(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_cube(table(spark, folder, "documents"), MODELS)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of files that were read in a wrong encoding."""
+    return garbled.garbled(table(spark, folder, "files")).select("file_id")
+
+
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected rows with the chain that led there and their text as far as it can be known."""
+    return garbled.restore(table(spark, folder, "files")).select("file_id", "chain", "restored")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items above a limit."""
     return split.oversized(*(table(spark, folder, t) for t in ("anchors", "packs", "files", "read_configs"))).select("item_kind", "item_id", "limit_id")
@@ -69,6 +79,8 @@ def _slice(c: str, cut: bool = False) -> str:
 QUERIES = {
     "p1_found": p1_found,
     "p1_cube": p1_cube,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_ids": p5_ids,
