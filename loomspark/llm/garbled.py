@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,11 @@ _BY_READER = {r: [(k, w) for k, (q, w) in enumerate(CHAINS[:-1]) if q == r] for
 _N8, _UTF7_CHAIN = len(CHAINS_UTF8), len(CHAINS) - 1
 
 
+def _compat(c: str) -> bool:
+    """Whether a letter is a ligature or other presentation form, which nobody types."""
+    return c > "\x7f" and c.isalpha() and unicodedata.decomposition(c).startswith("<compat>")
+
+
 def undo(text: str, chain: tuple[str, str]) -> str | None:
     """The text as it was written, if every sign of it can have come about by the chain."""
     reader, writer = chain
@@ -205,7 +211,7 @@ class Finder:
                     gain = min(gain, 0.0)
             else:
                 letters = sum(c.isalpha() for c in text if c > "\x7f")
-                if gain > 0 and (mean <= SOUND or _MIXED.search(text) or (foreign > 1 and letters < 2) or 3 * letters < 2 * sum(c > "\x7f" for c in text) or (foreign == 1 and len(word) < 3)):
+                if gain > 0 and (mean <= SOUND or _MIXED.search(text) or any(map(_compat, text)) or (foreign > 1 and letters < 2) or 3 * letters < 2 * sum(c > "\x7f" for c in text) or (foreign == 1 and len(word) < 3)):
                     gain = 0.0
                 elif controls:
                     gain += controls
