@@ -52,6 +52,7 @@ LOST = "lost"
 
 #: Letters of two alphabets in one word, or a lone ideograph in a Latin one: no text of either.
 _MIXED = re.compile(r"[A-Za-z\xc0-\u024f][\u0370-\u052f\u0590-\u06ff]|[\u0370-\u052f\u0590-\u06ff][A-Za-z\xc0-\u024f]|[A-Za-z][\u2e80-\ud7af\uff66-\uff9d][a-z]|^[A-Za-z.\-]*[\u2e80-\ud7af\uff66-\uff9d][a-z]*$")
+_LATIN = re.compile(r"[\x20-\x7e\xa0-\u024f\u2010-\u2026]*")
 _C1 = re.compile("[\x80-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SPACES = re.compile(r"[^ \t\r\n\f\v]+")
@@ -171,7 +172,10 @@ class Finder:
         p = self.model.points(f" {word} ")
         foreign = p[p > 127]
         touched = (p[1:] > 127) | (p[:-1] > 127)
-        return bool(len(foreign) and np.log(self.model.share[foreign]).mean() > -9.0 and self.model.each(p)[touched].mean() > -3.5)
+        if not len(foreign) or self.model.each(p)[touched].mean() <= -3.5:
+            return False
+        seen = self.model.pairs[self.model.bucket(p[:-1], p[1:])[touched]]
+        return bool(np.log((seen + 0.1) / self.model.total).mean() > -10.0)
 
     def _try(self, word: str, depth: int = 0) -> dict[int, tuple[float, str]]:
         """Log odds of every chain that can have led to a stretch, and what it was."""
@@ -207,8 +211,8 @@ class Finder:
                     if deeper:
                         more, text = max(deeper)
                         gain, mean = gain + more, 0.0
-                if mean <= SOUND:
-                    gain = min(gain, 0.0)
+                if mean <= SOUND:  # a rare word of a Latin alphabet may still be what it was
+                    gain = min(gain, 4.5 if CHAINS[k][0] in SINGLE_READERS and _LATIN.fullmatch(text) else 0.0)
             else:
                 letters = sum(c.isalpha() for c in text if c > "\x7f")
                 if gain > 0 and (mean <= SOUND or _MIXED.search(text) or any(map(_compat, text)) or (foreign > 1 and letters < 2) or 3 * letters < 2 * sum(c > "\x7f" for c in text) or (foreign == 1 and len(word) < 3)):
@@ -291,20 +295,37 @@ class Finder:
                 sums[k] = best + (3.0 if proof else 0.0)
         return sums
 
+    def _repaired(self, word: str, chain: int) -> str | None:
+        """What a stretch was, if it speaks for the record's chain, or clearly for one of its own."""
+        if word.isascii() and "&" not in word and "+A" not in word or _QUOTED.match(word):
+            return None
+        got = self.word(word)
+        if chain in got and got[chain][0] > 0:
+            return got[chain][1]
+        best = max(((g, t) for k, (g, t) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else 2 * LEAST_SEED)), default=None)
+        return best[1] if best else None
+
     def repair(self, text: str, chain: int) -> str:
-        """The text with every stretch undone that speaks for the record's chain, or else for one of its own."""
-
-        def one(m: re.Match) -> str:
-            word = m.group()
-            if word.isascii() and "&" not in word and "+A" not in word or _QUOTED.match(word):
-                return word
-            got = self.word(word)
-            if chain in got and got[chain][0] > 0:
-                return got[chain][1]
-            best = max(((g, t) for k, (g, t) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else 2 * LEAST_SEED)), default=None)
-            return best[1] if best else word
-
-        return _SPACES.sub(one, text)
+        """The text with every stretch undone that speaks for a chain, and with those next to it that the same chain of
+        the record can undo and that don't speak against it, like single letters."""
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            if line.isascii() and "&" not in line and "+A" not in line:
+                continue
+            spans = [m for m in _SPACES.finditer(line) if not m.group().isascii() or "&" in m.group() or "+A" in m.group()]
+            made = [self._repaired(m.group(), chain) for m in spans]
+            if _N8 <= chain < _UTF7_CHAIN:
+                for j in (*range(len(spans)), *reversed(range(len(spans)))):
+                    word = spans[j].group()
+                    if made[j] is None and not _QUOTED.match(word) and any(made[n] is not None for n in (j - 1, j + 1) if 0 <= n < len(made)):
+                        got = self.word(word).get(chain)
+                        if got is None or got[0] > -2.0:
+                            made[j] = undo(word, CHAINS[chain])
+            for m, now in reversed(list(zip(spans, made))):
+                if now is not None:
+                    line = line[: m.start()] + now + line[m.end() :]
+            lines[i] = line
+        return "\n".join(lines)
 
 
 def chain_name(k: int) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.functions.heuristic import CJK_RANGES, SIGNS
-from loomspark.llm import encode, garbled, packing, split, tokens
+from loomspark.llm import encode, garbled, packing, residue, split, tokens
 from loomspark.sources.tables import table
 
 #: Models that the token cube is made for.
@@ -57,6 +57,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, folder))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold residue."""
+    return residue.residue(table(spark, folder, "documents")).select("doc_id")
+
+
+def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The worst passage of each document that holds residue."""
+    return residue.residue(table(spark, folder, "documents"))
+
+
 def _class(inner: str, c: str = "text") -> str:
     return f"length(regexp_replace({c}, '[^{inner}]', '', 'g'))"
 
@@ -86,6 +96,8 @@ QUERIES = {
     "p5_ids": p5_ids,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_passages": p7_passages,
 }
 SQL = {
     "p1_found": f"""
