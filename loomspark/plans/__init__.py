@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("hierarchy",)
+_MODULES = ("hierarchy", "corpus", "anchors", "deps", "flows")
 
 
 def collect() -> tuple[dict, dict]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators import hierarchy as H
+from loomspark.plans.sql import place
 from loomspark.sources.tables import table
 
 
@@ -30,17 +31,9 @@ def p4_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return H.cycle_members(H.hierarchy(H.import_links(table(spark, folder, "imports"))))
 
 
-def _place(c: str) -> str:
-    plain = f"regexp_replace(replace({c}, chr(92), '/'), '^\\s+|\\s+$', '', 'g')"
-    once = f"array_to_string(list_filter(string_split({plain}, '/'), lambda s: s <> '' AND s <> '.'), '/')"
-    for _ in range(4):
-        once = f"regexp_replace({once}, '(^|/)[^/]+/\\.\\.(/|$)', '\\1', 'g')"
-    return f"nullif(regexp_replace({once}, '/$', ''), '')"
-
-
 _TREE = f"""
 WITH RECURSIVE l AS (
-  SELECT {_place("src")} AS node, min({_place("resolved_path")}) AS parent
+  SELECT {place('src')} AS node, min({place('resolved_path')}) AS parent
   FROM imports WHERE trim(resolved_path) <> '' GROUP BY 1),
 down AS (
   SELECT DISTINCT parent AS path, parent AS root_path, 0 AS depth, parent AS full_path FROM l
