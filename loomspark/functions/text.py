@@ -70,5 +70,9 @@ def keywords(text: Column, most: int = 5) -> Column:
     )
     cjk = F.translate(F.regexp_replace(text, f"[^{CJK}]", ""), CJK_STOPS, "")
     n = F.length(cjk)
-    grams = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.least(F.greatest(n - (k - 1), F.lit(1)), F.lit(8 * most))), lambda i, k=k: F.substring(cjk, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in (3, 2, 4)]
-    return F.slice(F.array_distinct(F.concat(first, *grams)), 1, most)
+    none = F.array().cast("array<string>")
+
+    def grams(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(cjk, i, F.lit(k)))).otherwise(none)
+
+    return F.slice(F.array_distinct(F.concat(first, grams(3), grams(2), grams(4))), 1, most)
