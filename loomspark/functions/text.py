@@ -69,10 +69,12 @@ def keywords(text: Column, most: int = 5) -> Column:
         lambda acc, w: F.when((F.size(acc) >= most) | F.exists(acc, lambda x: F.lower(x) == F.lower(w)), acc).otherwise(F.concat(acc, F.array(w))),
     )
     cjk = F.translate(F.regexp_replace(text, f"[^{CJK}]", ""), CJK_STOPS, "")
-    n = F.length(cjk)
+    signs = F.regexp_extract_all(cjk, F.lit("(?s)."), F.lit(0))
     none = F.array().cast("array<string>")
 
-    def grams(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(cjk, i, F.lit(k)))).otherwise(none)
+    def grams(x: Column, k: int) -> Column:
+        return F.when(F.size(x) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(x, i, k), ""))).otherwise(none)
 
-    return F.slice(F.array_distinct(F.concat(first, grams(3), grams(2), grams(4))), 1, most)
+    # bound to a name by way of an array of one: what stands inside a lambda is evaluated for every element
+    of_signs = F.element_at(F.transform(F.array(signs), lambda x: F.concat(grams(x, 3), grams(x, 2), grams(x, 4))), 1)
+    return F.slice(F.array_distinct(F.concat(first, of_signs)), 1, most)
