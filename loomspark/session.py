@@ -42,3 +42,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes the rows once to the shared folder, so that later uses neither recompute nor depend on an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where a table came in fewer pieces than that, for work that costs more than moving the rows.
+
+    A table of many files or row groups, as on a cluster, is left as it is read.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
