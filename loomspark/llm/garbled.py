@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.bpe import _LOCAL
-from loomspark.session import cut_lineage
+from loomspark.session import cut_lineage, spread
 
 #: Buckets of the character pairs; the model has so many counts whatever the corpus.
 PAIR_BUCKETS = 1 << 20
-#: Rounds of expectation and maximisation over the chain weights, and of the character model.
-ROUNDS, MODEL_ROUNDS = 6, 2
+#: Most rounds of expectation and maximisation over the chain weights, rounds of the character model, and the change of
+#: a weight below which the rounds end.
+ROUNDS, MODEL_ROUNDS, SETTLED = 6, 2, 1e-5
 #: Mean log probability of sound text; least log odds of a stretch that starts a search in its neighbours, of one whose
 #: bytes decode as UTF-8, and most that one stretch gives; log odds against any one chain to start from, which rounds only ease.
 SOUND, LEAST_SEED, LEAST_PROOF, MOST_GAIN, SWITCH = -5.2, 4.0, 2.0, 16.0, 4.5
@@ -155,6 +156,7 @@ class Finder:
     def __init__(self, model: CharModel):
         self.model = model
         self.seen: dict[str, dict[int, tuple[float, str]]] = {}
+        self.proofs: dict[str, bool] = {}
 
     def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``CharModel.score`` of many stretches at once."""
@@ -241,7 +243,7 @@ class Finder:
                 plain = word
             if plain != word and not plain.isascii() and all(c.isalpha() or c in "–—’“”" for c in plain if c > "\x7f") and self._scores([plain])[1][0] > SOUND:
                 got = {_UTF7_CHAIN: (6.0, plain)}
-        if not word.isascii() and max((g for g, _ in got.values()), default=0.0) < LEAST_SEED:
+        if not word.isascii() and max((g for g, _ in got.values()), default=0.0) < LEAST_SEED and not self._calm(word):
             for run in set(_RUN.findall(word)):
                 if run != word and len(run) > 1:
                     for k, (g, text) in self._try(run).items():
@@ -254,8 +256,23 @@ class Finder:
         return got
 
     def proven(self, word: str) -> bool:
-        """Whether the bytes of a stretch decode as UTF-8 to something likelier."""
-        return any(g >= LEAST_PROOF for k, (g, _) in self.word(word).items() if k < _N8)
+        """Whether the bytes of a stretch decode as UTF-8 to something likelier; without the other chains."""
+        got = self.proofs.get(word)
+        if got is None:
+            made = []
+            for reader in _ENCODERS:
+                try:
+                    made.append(_ENCODERS[reader](word).decode("utf-8"))
+                except (UnicodeError, ValueError):
+                    continue
+            got = False
+            if any(m != word for m in made):
+                got = any(g >= LEAST_PROOF for k, (g, _) in self.word(word).items() if k < _N8)
+            if len(word) <= 64:
+                if len(self.proofs) > 100_000:
+                    self.proofs.clear()
+                self.proofs[word] = got
+        return got
 
     def text(self, text: str, truncated: bool | None) -> dict[int, float]:
         """Log odds of each chain over a whole text; -1 stands for signs that are lost.
@@ -267,8 +284,10 @@ class Finder:
         if n := _is_lost(text, truncated):
             sums[-1] = 8.0 + min(n, 50) * 0.1
         if "?" in text:
-            n = sum(1 for w in _SPACES.findall(text) if "?" in w and _LOST_LETTER.search(w) and not _CODE.search(w) and not _QUOTED.match(w))
-            n += 2 * len(_TREE.findall(text))
+            n = 0
+            if _LOST_LETTER.search(text):
+                n = sum(1 for w in _SPACES.findall(text) if "?" in w and _LOST_LETTER.search(w) and not _CODE.search(w) and not _QUOTED.match(w))
+            n += 2 * len(_TREE.findall(text)) if "??" in text else 0
             if n:
                 sums[-1] = sums.get(-1, 0.0) + 2.5 * n
         if not _WORTH.search(text):
@@ -280,10 +299,11 @@ class Finder:
                     if word.isascii() and "&" not in word and "+A" not in word:
                         continue
                     got = self.word(word)
-                    if _QUOTED.match(word):
+                    if got and _QUOTED.match(word):
                         got = {}
                     row.append(got)
-                    seeds.update(k for k, (g, _) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else LEAST_SEED))
+                    if got:
+                        seeds.update(k for k, (g, _) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else LEAST_SEED))
         for k in seeds:
             proof = k < _N8 or k == _UTF7_CHAIN
             best = run = 0.0
@@ -341,20 +361,30 @@ _COUNTS = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("n", pa.int64(
 def _count(batches: Iterator[pa.RecordBatch], finder_of=None) -> Iterator[pa.RecordBatch]:
     pairs, singles = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(1 << 16, np.int64)
     finder = finder_of() if finder_of else None
-    any_row = False
+    any_row, held, chars = False, [], 0
+
+    def add() -> None:
+        nonlocal pairs, singles
+        p = CharModel.points(" " + "\n ".join(held) + " ")
+        pairs += np.bincount(CharModel.bucket(p[:-1], p[1:]), minlength=PAIR_BUCKETS)
+        singles += np.bincount(p, minlength=1 << 16)
+        held.clear()
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
             any_row = True
-            lines = [x for x in text.split("\n") if x and "�" not in x]
-            if finder is not None:
+            lines = [x for x in text.split("\n") if x and "�" not in x] if "�" in text or not text.isascii() else [text]
+            if finder is not None and not text.isascii():
                 lines = [x if x.isascii() else " ".join(w for w in _SPACES.findall(x) if w.isascii() or not finder.proven(w)) for x in lines]
-            p = CharModel.points(" " + "\n ".join(lines) + " ")
-            pairs += np.bincount(CharModel.bucket(p[:-1], p[1:]), minlength=PAIR_BUCKETS) if len(p) > 200_000 else 0
-            if len(p) <= 200_000:
-                np.add.at(pairs, CharModel.bucket(p[:-1], p[1:]), 1)
-            singles += np.bincount(p, minlength=1 << 16)
+            held += lines
+            chars += len(text)
+            if chars > 1_000_000:
+                add()
+                chars = 0
+    if held:
+        add()
     if any_row:
         for kind, counts in ((0, pairs), (1, singles)):
             at = np.flatnonzero(counts)
@@ -436,12 +466,15 @@ def _estimate(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         each = scored.groupBy("row").agg(F.sum("odds").alias("all_odds"))
         out = cut_lineage(scored.join(each, "row").select("row", "file_id", "source", "flag", "k", (F.col("odds") / (1 + F.col("all_odds"))).alias("share")))
         sums = out.groupBy("k").agg(F.sum("share").alias("w"), F.sum(F.when(F.col("flag"), F.col("share")).otherwise(0.0)).alias("f")).collect()
+        moved = max((abs(r.w / n_all - weights.get(r.k, 0.0)) for r in sums), default=0.0)
         weights = {r.k: r.w / n_all for r in sums}
         hit, hit_flag = sum(r.w for r in sums), sum(r.f for r in sums)
         in_hit = (hit_flag + 1) / (hit + 2)
         in_rest = (max(n_flag - hit_flag, 0.0) + 1) / (max(n_all - hit, 1.0) + 2)
         flag_odds = (max(0.0, min(2.0, float(np.log(in_hit / in_rest)))), 0.0)
         by_source = out.groupBy("source", "k").agg(F.sum("share").alias("s_weight"))
+        if moved < SETTLED:
+            break
     return out
 
 
@@ -453,11 +486,12 @@ def garbled(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
     none. Contents are read whole.
     """
     spark = files.sparkSession
-    texts = files.filter("content <> ''").select("content")
+    told = spread(files.filter("content <> ''").select("file_id", "path", "content", "truncated", "lossy_conversion"))
+    texts = told.select("content")
     model = _char_model(texts)
     for _ in range(model_rounds - 1):
         model = _char_model(texts, _finder_of(spark, model))
-    found = cut_lineage(_evidence(files.filter("content <> ''"), _finder_of(spark, model)))
+    found = cut_lineage(_evidence(told, _finder_of(spark, model)))
     shares = _estimate(found)
     best = shares.groupBy("row", "file_id").agg(F.sum("share").alias("posterior"), F.max_by("k", "share").alias("k"))
     named = F.udf(chain_name, "string")
