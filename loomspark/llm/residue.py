@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import spread
+
 #: Documents whose passages may be drawn to fit the classifier, and passages without label drawn from them.
 LABELLED_DOCUMENTS, UNLABELLED_PASSAGES = 15_000, 15_000
 #: Hashed n-gram features, their lengths, strength of the regularisation, rounds of fitting.
@@ -407,7 +409,7 @@ def train(documents: DataFrame, bound: int = LABELLED_DOCUMENTS, unlabelled: int
     share = min(1.0, bound / max(1, n))
     drawn = documents.filter("text is not null and trim(text) <> ''").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
     every = max(1, int(n * share * 12 / unlabelled))
-    told = drawn.select(F.coalesce("project", F.lit("none")).alias("host"), "text").mapInArrow(_draw(every), "host string, passage string, place int, size int, label boolean")
+    told = spread(drawn.select(F.coalesce("project", F.lit("none")).alias("host"), "text")).mapInArrow(_draw(every), "host string, passage string, place int, size int, label boolean")
     told = told.groupBy("passage").agg(F.min("host").alias("host"), F.min("place").alias("place"), F.min("size").alias("size"), F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
     got = told.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0).orderBy(F.desc("label"), F.xxhash64("passage"), "passage").limit(3 * unlabelled).toArrow()
     col = {c: got.column(c).to_numpy(zero_copy_only=False) for c in ("place", "size", "label", "held", "n")}
@@ -466,7 +468,7 @@ def residue(documents: DataFrame, model: Classifier | None = None) -> DataFrame:
         best = best_passages(texts.to_pylist(), m)
         return pa.array([None if b is None or b[0] < m.threshold else {"score": b[0], "passage": b[1]} for b in best], pa.struct([("score", pa.float64()), ("passage", pa.string())]))
 
-    return documents.select("doc_id", judge("text").alias("worst")).filter("worst is not null").select("doc_id", "worst.score", "worst.passage")
+    return spread(documents.select("doc_id", "text")).select("doc_id", judge("text").alias("worst")).filter("worst is not null").select("doc_id", "worst.score", "worst.passage")
 
 
 def without_residue(documents: DataFrame, model: Classifier | None = None) -> DataFrame:
