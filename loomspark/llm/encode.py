@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import bpe
 from loomspark.llm.lexicon import Lexicon, compile_lexicon
-from loomspark.session import shared_dir
+from loomspark.session import shared_dir, spread
 
 #: Words that the lexicon holds, and the longest of them in bytes. Both only bound its size: other words are merged.
 LEXICON_WORDS = 50_000
@@ -116,6 +116,7 @@ def encode_corpus(texts: DataFrame, model: str = "byte_bpe_50k", column: str = "
     ``ids`` in the input is replaced, others stay.
     """
     spark = texts.sparkSession
+    texts = spread(texts)
     vocabulary = bpe.vocabulary(model, folder)
     name = share_file(spark, build_lexicon(texts, vocabulary, column, words), "lexicon")
     shared = spark.sparkContext.broadcast(vocabulary)
