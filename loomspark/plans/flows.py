@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.heuristic import heuristic_tokens
+from loomspark.functions.models import ALIASES, token_model
 from loomspark.functions.paths import extension
 from loomspark.operators import flows
 from loomspark.plans.anchors import _first_id, given, marked_docs, parsed
@@ -70,6 +72,26 @@ def pack_stats(spark: SparkSession, folder: str) -> DataFrame:
     return flows.pack_stats(_pack(True)(spark, folder), _items(spark, folder))
 
 
+def token_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests and their recorded tokens by the model their spelling means."""
+    packs = table(spark, folder, "packs").select(token_model(F.col("token_model")).alias("model"), "estimated_tokens")
+    return packs.groupBy("model").agg(F.count(F.lit(1)).alias("packs"), F.sum("estimated_tokens").alias("tokens"))
+
+
+def stale_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded heuristic counts of documents that are missing or not what the text has now, with the right one."""
+    stats = table(spark, folder, "file_stats").filter(token_model(F.col("token_model")) == "heuristic").select("stat_id", F.col("doc_id").alias("d"), F.col("tokens").alias("recorded"))
+    now = table(spark, folder, "documents").select("doc_id", heuristic_tokens(F.col("text")).alias("tokens"))
+    return stats.join(now, F.col("d") == F.col("doc_id")).filter(~F.col("recorded").eqNullSafe(F.col("tokens"))).select("stat_id", "doc_id", "recorded", "tokens")
+
+
+def stale_outlines(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded outline counts that are missing or not those of any block of their id."""
+    items = table(spark, folder, "outline_items").select("item_id", "id", F.col("tokens").alias("recorded"))
+    now = table(spark, folder, "anchors").select(F.col("id").alias("a_id"), heuristic_tokens(F.col("content")).alias("tokens")).distinct()
+    return items.join(now, (F.col("id") == F.col("a_id")) & (F.col("recorded") == F.col("tokens")), "left_anti")
+
+
 def writing_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence for the first block."""
     return flows.writing(docs_of(spark, folder), given(spark, folder), _first_id(spark, folder), words=["cache", "plan"])
@@ -112,8 +134,17 @@ QUERIES = {
     "pack_by_order": _pack(False),
     "pack_stats": pack_stats,
     "writing_evidence": writing_evidence,
+    "token_models": token_models,
+    "stale_counts": stale_counts,
+    "stale_outlines": stale_outlines,
 }
+_MODEL = "CASE " + " ".join("WHEN lower(trim(token_model)) IN (" + ", ".join(f"'{x}'" for x in v) + f") THEN '{m}'" for m, v in ALIASES.items()) + " END"
 SQL = {
+    "token_models": f"SELECT {_MODEL} AS model, count(*) AS packs, CAST(sum(estimated_tokens) AS BIGINT) AS tokens FROM packs GROUP BY 1",
+    "stale_counts": f"""WITH n AS (SELECT doc_id, coalesce({heuristic('text')}, 0) AS tokens FROM documents)
+SELECT stat_id, n.doc_id, s.tokens AS recorded, n.tokens FROM file_stats s JOIN n USING (doc_id) WHERE {_MODEL} = 'heuristic' AND s.tokens IS DISTINCT FROM n.tokens""",
+    "stale_outlines": f"""WITH n AS (SELECT DISTINCT id, coalesce({heuristic('content')}, 0) AS tokens FROM anchors)
+SELECT item_id, id, tokens AS recorded FROM outline_items o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.id = o.id AND n.tokens = o.tokens)""",
     "file_stats": f"WITH {DOCS}, {_STATS} SELECT * FROM s",
     "project_stats": f"""WITH {BLOCKS}, {_STATS}, n AS (SELECT path, count(*) AS anchors FROM a GROUP BY 1)
 SELECT count(*) AS files, {", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("chars", "chars_no_space", "words", "cjk_chars", "line_count", "tokens", "anchors"))} FROM s LEFT JOIN n USING (path)""",
