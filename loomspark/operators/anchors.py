@@ -107,7 +107,8 @@ def lint(files: DataFrame, large: int = LARGE_LINES) -> DataFrame:
     blocks = pairs.filter("state = 'anchor'").withColumn("size", F.col("end_no") - F.col("line_no") - 1)
     empty = blocks.filter("size <= 0").select(*row("EMPTY_ANCHOR", "warning", F.lit(0)))
     big = blocks.filter(F.col("size") > large).select(*row("LARGE_ANCHOR", "warning", F.col("size")))
-    twice = blocks.withColumn("times", F.count(one).over(Window.partitionBy("id"))).filter("times > 1").select(*row("DUPLICATE_ID", "error", F.col("times")))
+    several = blocks.groupBy(F.col("id").alias("_id")).agg(F.count(one).alias("times")).filter("times > 1")
+    twice = blocks.join(several, F.col("id") == F.col("_id")).select(*row("DUPLICATE_ID", "error", F.col("times")))
     return unpaired.unionByName(empty).unionByName(big).unionByName(twice)
 
 
@@ -162,3 +163,9 @@ def unmark(files: DataFrame, asked: DataFrame) -> DataFrame:
     return df.select("path", "id", text.alias("new_content"), ((F.col("_b") > 0).cast("int") + (F.col("_e") > 0).cast("int")).alias("removed"))
 
 
+
+
+def lint_reads(read: DataFrame) -> DataFrame:
+    """What a bounded read warned of, as findings: ``code, severity, path, line_no, id, n``."""
+    rows = read.select("path", F.explode(F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.when(F.col("skipped"), F.array(F.lit("FILE_SKIPPED"))).otherwise(F.array().cast("array<string>")))).alias("code"))
+    return rows.select("code", F.lit("warning").alias("severity"), "path", F.lit(1).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("id"), F.lit(1).cast("bigint").alias("n"))

@@ -96,3 +96,32 @@ def deps_table(imports: DataFrame, graph: DataFrame, width: int = 40) -> DataFra
     names = graph.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("dst", "/", -1))), ", ").alias("deps"))
     deps = F.coalesce("deps", F.lit(""))
     return n.join(names, "src", "left").select("src", "n", F.when(F.length(deps) > width, F.concat(F.substring(deps, 1, width - 3), F.lit("..."))).otherwise(deps).alias("deps"))
+
+
+def outline_markdown(items: DataFrame) -> DataFrame:
+    """``path, place, line``: a heading for each file and its blocks below, indented by level."""
+    w = Window.partitionBy("path").orderBy("start_line", "end_line", "id")
+    span = F.concat(F.lit(" (L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")"))
+    rows = items.select("path", F.row_number().over(w).alias("place"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("- "), "id", span, F.coalesce(F.concat(F.lit(": "), "preview"), F.lit(""))).alias("line"))
+    heads = items.select("path").distinct().select("path", F.lit(0).alias("place"), F.concat(F.lit("## "), "path").alias("line"))
+    return heads.unionByName(rows)
+
+
+def outline_tree(items: DataFrame) -> DataFrame:
+    """``path, place, line``: blocks of each file with branches, the last one closing."""
+    w = Window.partitionBy("path").orderBy("start_line", "end_line", "id")
+    glyph = F.when(F.lead("id").over(w).isNull(), "└── ").otherwise("├── ")
+    return items.select("path", F.row_number().over(w).alias("place"), F.concat(glyph, F.repeat(F.lit("  "), F.col("level")), F.col("id")).alias("line"))
+
+
+def summary_rows(one: DataFrame) -> DataFrame:
+    """``name, value`` of a row of totals, one row a column."""
+    each = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in one.columns))
+    return one.select(F.inline(each))
+
+
+def impact_results(impact: DataFrame) -> DataFrame:
+    """Affected files as result rows: changed ones with high, direct with medium, others with low confidence."""
+    rows = to_results(impact, "flow", "mixed", data=F.to_json(F.struct(F.col("kind").alias("impact_type"), "steps")))
+    sure = F.when(F.get_json_object("data", "$.impact_type") == "changed", "high").when(F.get_json_object("data", "$.impact_type") == "direct_impact", "medium").otherwise("low")
+    return rows.withColumn("confidence", sure)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from loomspark.functions.heuristic import heuristic_tokens
 from loomspark.functions.models import ALIASES, token_model
 from loomspark.functions.paths import extension
-from loomspark.operators import flows
+from loomspark.operators import corpus, flows, results
 from loomspark.plans.anchors import _first_id, given, marked_docs, parsed
 from loomspark.plans.corpus import docs_of
+from loomspark.plans.deps import _IMPACT, impact
 from loomspark.plans.sql import BLOCKS, CJK_CLASS, DOCS, EXT, LINES, TAGS, heuristic, in_class, parts, utf8_cut
 from loomspark.sources.tables import table
 
@@ -72,6 +73,31 @@ def pack_stats(spark: SparkSession, folder: str) -> DataFrame:
     return flows.pack_stats(_pack(True)(spark, folder), _items(spark, folder))
 
 
+def outline_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The outline of the given blocks as lines of Markdown."""
+    return results.outline_markdown(flows.outline(_one_each(spark, folder)))
+
+
+def outline_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a tree."""
+    return results.outline_tree(flows.outline(_one_each(spark, folder)))
+
+
+def _one_each(spark: SparkSession, folder: str) -> DataFrame:
+    """The first delivery of each given block."""
+    return corpus.latest(given(spark, folder).withColumn("_k", F.struct("path", "start_line", "end_line", "id")).withColumn("_first", -F.col("anchor_key")), "_k", "_first").drop("_k", "_first")
+
+
+def stats_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals as rows of name and value."""
+    return results.summary_rows(project_stats(spark, folder))
+
+
+def impact_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Affected files as result rows."""
+    return results.impact_results(impact(spark, folder)).select("kind", "path", "data", "confidence", "source_mode")
+
+
 def token_models(spark: SparkSession, folder: str) -> DataFrame:
     """Requests and their recorded tokens by the model their spelling means."""
     packs = table(spark, folder, "packs").select(token_model(F.col("token_model")).alias("model"), "estimated_tokens")
@@ -134,12 +160,27 @@ QUERIES = {
     "pack_by_order": _pack(False),
     "pack_stats": pack_stats,
     "writing_evidence": writing_evidence,
+    "outline_markdown": outline_markdown,
+    "outline_tree": outline_tree,
+    "stats_summary": stats_summary,
+    "impact_results": impact_results,
     "token_models": token_models,
     "stale_counts": stale_counts,
     "stale_outlines": stale_outlines,
 }
 _MODEL = "CASE " + " ".join("WHEN lower(trim(token_model)) IN (" + ", ".join(f"'{x}'" for x in v) + f") THEN '{m}'" for m, v in ALIASES.items()) + " END"
+_ONE = "a AS (SELECT id, coalesce(tags, []) AS tags, version, path, start_line, end_line, content FROM anchors QUALIFY row_number() OVER (PARTITION BY path, start_line, end_line, id ORDER BY anchor_key) = 1)"
+_PREVIEW = "CASE WHEN length(line) > 60 THEN left(line, 60) || '...' ELSE line END"
+_TOTALS = f"""WITH {BLOCKS}, {_STATS}, n AS (SELECT path, count(*) AS anchors FROM a GROUP BY 1),
+t AS (SELECT CAST(count(*) AS BIGINT) AS files, {", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("chars", "chars_no_space", "words", "cjk_chars", "line_count", "tokens", "anchors"))} FROM s LEFT JOIN n USING (path))"""
 SQL = {
+    "outline_markdown": f"""WITH {_ONE}, {_OUTLINE}, x AS (SELECT *, {_OUT}, {_PREVIEW} AS preview FROM oo)
+SELECT DISTINCT path, 0 AS place, '## ' || path AS line FROM x UNION ALL
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line, end_line, id) AS INT), repeat('  ', level) || '- ' || id || ' (L' || start_line || '-' || end_line || ')' || coalesce(': ' || preview, '') FROM x""",
+    "outline_tree": f"""WITH {_ONE}, {_OUTLINE}, x AS (SELECT *, {_OUT} FROM oo)
+SELECT path, CAST(row_number() OVER w AS INT) AS place, CASE WHEN lead(id) OVER w IS NULL THEN '└── ' ELSE '├── ' END || repeat('  ', level) || id AS line FROM x WINDOW w AS (PARTITION BY path ORDER BY start_line, end_line, id)""",
+    "stats_summary": _TOTALS + " SELECT name, CAST(value AS VARCHAR) AS value FROM (UNPIVOT t ON COLUMNS(*) INTO NAME name VALUE value)",
+    "impact_results": _IMPACT + """ SELECT 'flow' AS kind, path, '{"impact_type":"' || kind || '","steps":' || steps || '}' AS data, CASE steps WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, 'mixed' AS source_mode FROM k""",
     "token_models": f"SELECT {_MODEL} AS model, count(*) AS packs, CAST(sum(estimated_tokens) AS BIGINT) AS tokens FROM packs GROUP BY 1",
     "stale_counts": f"""WITH n AS (SELECT doc_id, coalesce({heuristic('text')}, 0) AS tokens FROM documents)
 SELECT stat_id, n.doc_id, s.tokens AS recorded, n.tokens FROM file_stats s JOIN n USING (doc_id) WHERE {_MODEL} = 'heuristic' AND s.tokens IS DISTINCT FROM n.tokens""",

@@ -55,6 +55,11 @@ def test_parse_list_get_neighbors_lint(spark):
     assert A.lint(df.select("path", "content").limit(0)).count() == 0
 
 
+def test_findings_of_reads(spark):
+    read = spark.createDataFrame([("a", ["FILE_TRUNCATED"], False), ("b", [], True), ("c", None, False)], "path string, warnings array<string>, skipped boolean")
+    assert sorted((r.path, r.code) for r in A.lint_reads(read).collect()) == [("a", "FILE_TRUNCATED"), ("b", "FILE_SKIPPED")]
+
+
 def test_mark_and_unmark_round_trip(spark):
     df = spark.createDataFrame([("a", "1\n2\n3\n"), ("b", "1\n2"), ("c", ""), ("d", "// <!--Q:begin id=k-->\nx")], "path string, content string")
     specs = spark.createDataFrame([("a", 2, 3, "k", ["t", "u"], 4), ("a", 1, 1, "j", [], 1), ("b", 2, 99, "k", None, None), ("b", 4, 4, "far", [], 1), ("c", 1, 1, "k", [], 1), ("zz", 1, 1, "k", [], 1), ("b", 3, 3, "eof", [], 1)], A_SPECS)
