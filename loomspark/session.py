@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Gives this package to the workers, once for each application, wherever the driver got it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="loom-code-")  # the driver serves the file from here
+    name = f"{folder}/loomspark_{sc.applicationId}.zip".replace(":", "_")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(name)
+    sc._loom_shipped = True
