@@ -23,8 +23,8 @@ from loomspark.session import spread
 
 #: Documents whose passages may be drawn to fit the classifier, and passages without label drawn from them.
 LABELLED_DOCUMENTS, UNLABELLED_PASSAGES = 15_000, 15_000
-#: Hashed n-gram features, their lengths, strength of the regularisation, rounds of fitting.
-BUCKETS, ORDERS, RIDGE, EPOCHS = 1 << 18, (3, 5, 8), 1e-6, 60
+#: Hashed n-gram features, their lengths, strength of the regularisation, rounds of fitting; least threshold.
+BUCKETS, ORDERS, RIDGE, EPOCHS, LEAST = 1 << 18, (3, 5, 8), 1e-6, 60, 0.5
 #: Characters that are scored at once.
 CHUNK_CHARS = 1_000_000
 
@@ -45,7 +45,7 @@ _TAG = re.compile(r"</?(?:h[1-6]|p|b|i|em|strong|hr|br|title|body|head|html|div|
 #: Kinds of unfilled slots. Words are fixed values: what asks to fill something in, in the languages of the corpus.
 _ASK = (
     r"your|insert|enter|add|fill in|here|goes here|tbd|to be (?:added|filled|completed|defined)|einfügen|eintragen|ergänzen|angeben|hier|escriba|añadir|añada|inserte|aquí|indicar|nombre|insérer|renseigner|compléter|saisir|ici|inserir|preencher|inserir|aqui|nome"
-    r"|вставьте|вставить|укажите|указать|впишите|введите|добавить|имя|название|ここに|入力|記入|追加|填写|请输入|输入|插入|此处|名称|입력|기입|여기에|이름|추가"
+    r"|вставьте|вставить|укажите|указать|впишите|введите|добавить|имя|описание|дата|descrição|descripción|Beschreibung|title|titre|título|название|ここに|入力|記入|追加|填写|请输入|输入|插入|此处|名称|입력|기입|여기에|이름|추가"
 )
 _SLOTS = (
     re.compile(r"\{\{+[^{}\n]{0,40}\}\}+|\{\{+[^{}\n]{1,40}\|[^{}\n]{1,40}\}\}"),
@@ -55,9 +55,10 @@ _SLOTS = (
     re.compile(r"(?<!\w)%[sd](?!\w)|\{\d\}"),
     re.compile(r"(?<![\w$#{])\{[a-z][a-z_]{2,40}\}"),
     re.compile(rf"\[(?=[^\]\n]*(?:\s|[^\x00-\x7f]))[^\]\n]*(?:{_ASK})[^\]\n]*\](?![(\[:])", re.I),
-    re.compile(rf"<(?=[^<>\n]*(?:\s|[^\x00-\x7f]))(?![/!|])[^<>|=\"/\n]*(?:{_ASK}|\bof\b|\bdel?\b|\bdu\b)[^<>|=\"/\n]*>", re.I),
-    re.compile(r"<<[A-Za-z][A-Za-z _]{1,40}>>"),
-    re.compile(r"_{5,}"),
+    re.compile(rf"<(?=[^<>\n]*(?:\s|[^\x00-\x7f]))(?![/!|])[^<>|=\"/\n]*(?:{_ASK}|\bof\b|\bdel?\b|\bd[uoa]\b)[^<>|=\"/\n]*>", re.I),
+    re.compile(r"<<[A-Za-z][A-Za-z _]{1,40}>>|<[A-Z][A-Z_]{2,40}>|&&[A-Za-z_]{2,40}&&"),
+    re.compile(r"_{5,}|［[^］\n]{2,40}］|[【＜][^】＞\n]*(?:名|入力|記入|填写|输入|日期|摘要|标题|입력|이름)[^】＞\n]*[】＞]|\$\([A-Z][A-Z_]+\)"),
+    re.compile(r"\[(?!(?:Insert|Esc|Enter|Tab|Ctrl|Alt|Shift|Del|Delete|Home|End|Space|Return|Backspace|Unreleased|Note|Draft|Added|Changed|Fixed|Removed|Deprecated|Security)\])[A-Z][a-z]+(?:[A-Z][a-z]+)*\](?![(\[:])"),
     re.compile(r"\([^()\n]{2,40} (?:goes here|to be added|to follow)\)", re.I),
 )
 _SLOT0, _CODE, _SAID, _LINKED = 0xE010, "\ue000", "\ue001", "\ue002"
@@ -88,7 +89,7 @@ def mask(text: str) -> str:
 
 
 _DATED = re.compile(r"\d[-:./]\d\d\b|^\s*(?:DEBUG|INFO|WARN|TRACE|import|from|\[)", re.M)
-_SLOT_HINT = re.compile(r"[{\[<%_@$(]|XX_")
+_SLOT_HINT = re.compile(r"[{\[<%_@$(&［【＜]|XX_")
 
 
 def passages(text: str) -> list[str]:
@@ -109,7 +110,9 @@ _BEGINNINGS = re.compile(
     r"|no such page|we looked everywhere|you are not allowed to|sign in (?:again )?to continue|could not parse the response|preview unavailable|unexpected failure"
     r"|server trouble|no file exists at this address|an internal problem kept us|you do not have permission|cookies must be allowed|unsupported browser|checking your browser"
     r"|your text goes here|[\w ]+ \d+ goes here|dummy content|more dummy content|body copy to come|replace this [\w ]+ with the real|text text text|nothing to read yet"
-    r"|no [\w ]+ exists at this address|(?:client-side |java ?)?script(?:ing)?(?: support)? seems to be blocked|without (?:java ?script|scripting|scripts) there is nothing|enable (?:java ?script|scripting|scripts) to|this repository is no longer available"
+    r"|the page you requested has moved|sorry, this file is too big to display|click here to add a description|unhandled exception in page renderer|enable it to continue|this app works best with|to comment or read replies, (?:java ?script|js|scripts)"
+    r"|(?:client-side |java ?|running )?script(?:ing|s)?(?: support)? (?:has|have) been disabled|sorry, the [\w ]+ can.t run|to see the [\w ]+, allow scripts|interactive diagram\b.{0,30}script|running scripts is required"
+    r"|no [\w ]+ exists at this address|(?:client-side |java ?)?script(?:ing)?(?: support)? seems to be blocked|without (?:java ?script|js|scripting|scripts|script support|running scripts|client-side scripting) there is nothing|enable (?:java ?script|js|scripting|scripts|script support|running scripts|client-side scripting) to|this repository is no longer available"
     r"|write something meaningful in|the server took too long|this [\w ]+ needs a browser with (?:java ?script|scripting|scripts)|contact the administrator of this site|type the [\w ]+ of your|x{3,}\b|platzhaltertext|accès refusé|faux texte|texte factice|texto de ejemplo|texto de exemplo",
     re.I,
 )
@@ -130,6 +133,9 @@ _LITERALS = (
     "gateway got an invalid reply",
     "scripts are required to",
     "needs scripts and cookies",
+    "does not start with scripts off",
+    "requires a script-enabled client",
+    "preciso permitir scripts",
     "scripting switched off",
     "could not run its scripts",
     "script blocker prevents",
@@ -340,7 +346,7 @@ def fit(parts: list[str], place: np.ndarray, size: np.ndarray, labels: np.ndarra
     z = (np.bincount(row, weights=w[col] * value, minlength=len(parts)) + b)[test]
     truth, mass = labels[test], counts[test]
     best = (-1.0, 0.0, 0.0, 0.0)
-    for t in np.linspace(-1.0, 4.0, 51):
+    for t in np.linspace(LEAST, 4.0, 36):
         hit = z >= t
         tp = mass[hit & truth].sum()
         precision, recall = tp / max(1, mass[hit].sum()), tp / max(1, mass[truth].sum())
@@ -380,6 +386,11 @@ _DRAWN = pa.schema([("host", pa.string()), ("passage", pa.string()), ("place", p
 
 #: Passages up to this length are always drawn: menus and short replies, which stand in sound and in other texts alike.
 MENU_CHARS = 40
+#: Words that error pages, filler and notices share with text that only speaks of them; such are always drawn.
+_NEAR = re.compile(
+    r"script|not found|gateway|forbidden|unavailable|denied|lorem|placeholder|platzhalter|blindtext|texte?\b|texto|error|erreur|fehler|ошибк|шаблон|заполнит|エラー|記号|ダミー|错误|模板|占位|返回\d|오류|자리|[45]\d\d",
+    re.I,
+)
 _DIGITS = re.compile(r"\d")
 
 
@@ -392,7 +403,7 @@ def _draw(every: int):
                 labels = weak_labels(parts)
                 size = len(parts)
                 for k, (part, label) in enumerate(zip(parts, labels)):
-                    if label or len(part) <= MENU_CHARS or (len(text) + 31 * k + 7 * len(part)) % every == 0:
+                    if label or len(part) <= MENU_CHARS or _NEAR.search(part) or (len(text) + 31 * k + 7 * len(part)) % every == 0:
                         out.append((host, _DIGITS.sub("0", part), k, size, label))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_DRAWN)], schema=_DRAWN)
 
@@ -429,7 +440,7 @@ def best_passages(texts: list[str | None], model: Classifier) -> list[tuple[floa
         if not parts:
             return
         scores = model.scores(parts, np.array(place, np.int64), np.array(size, np.int64))
-        for i in np.flatnonzero(scores > -1.0).tolist():
+        for i in np.flatnonzero(scores >= model.threshold).tolist():
             o, s = owner[i], float(scores[i])
             if out[o] is None or s > out[o][0]:
                 out[o] = (s, parts[i])

@@ -53,9 +53,9 @@ def test_masks_and_slots():
     parts = residue.passages(text)
     assert sum(bool(residue._ANY_SLOT.search(p)) for p in parts) == 1
     assert not any("404" in p or "WARN" in p for p in parts)
-    for slot in ("<%= a %>", "${NAME}", "[Your Name]", "<Datum einfügen>", "________", "%OWNER%", "@@A_B@@", "<<Team>>", "[여기에 제목 입력]", "(owner goes here)"):
+    for slot in ("<%= a %>", "${NAME}", "[Your Name]", "<Datum einfügen>", "________", "%OWNER%", "@@A_B@@", "<<Team>>", "[여기에 제목 입력]", "(owner goes here)", "［ここに概要を記入］", "【项目名称】", "<DUE_DATE>", "&&owner&&", "[DueDate]", "[описание проекта]"):
         assert any(residue._ANY_SLOT.search(p) for p in residue.passages(f"All notes by {slot}.")), slot
-    for sound in ("Press [Insert] now.", "The cost is $x + y$ where $x$ is it.", "see [[design-notes]]", "a <b>bold</b> word", "List<String> x"):
+    for sound in ("Press [Insert] now.", "The cost is $x + y$ where $x$ is it.", "see [[design-notes]]", "The [Esc] key", "a list [notes] of", "a <b>bold</b> word", "List<String> x"):
         assert not any(residue._ANY_SLOT.search(p) for p in residue.passages(sound)), sound
 
 
