@@ -247,8 +247,9 @@ class Finder:
             for run in set(_RUN.findall(word)):
                 if run != word and len(run) > 1:
                     for k, (g, text) in self._try(run).items():
-                        if g >= (LEAST_PROOF if k < _N8 else 2 * LEAST_SEED) and g > got.get(k, (0.0,))[0]:
-                            got[k] = (g, word.replace(run, text))
+                        whole = word.replace(run, text)
+                        if g >= (LEAST_PROOF if k < _N8 else 2 * LEAST_SEED) and g > got.get(k, (0.0,))[0] and (k < _N8 or not _MIXED.search(whole)):
+                            got[k] = (g, whole)
         if len(word) <= 64:
             if len(self.seen) > 100_000:
                 self.seen.clear()
