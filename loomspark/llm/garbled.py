@@ -6,8 +6,8 @@ the corpus says how likely a stretch is as it stands and as each chain would hav
 path) and the record's flag share what has been seen in other records; and the posterior decides which records are
 affected and which chain repairs them.
 
-All passes run over all rows. What goes to the driver is the character model, whose size is a parameter, and the chain
-weights over all sources; the weights by source stay in the cluster.
+All passes run over all rows. What goes to the driver is the character model, whose size is a parameter, once for each of
+a fixed number of groups of sources, and the chain weights over all sources; the weights by source stay in the cluster.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ ROUNDS, MODEL_ROUNDS, SETTLED = 6, 2, 1e-5
 SOUND, LEAST_SEED, LEAST_PROOF, MOST_GAIN, SWITCH = -5.2, 4.0, 2.0, 16.0, 4.5
 #: Records that a source's weights are shrunk towards all sources by.
 SHRINK = 20.0
+#: Groups that sources are hashed into; a stretch that stands mostly in its own group is also judged by the counts of the rest.
+GROUPS = 8
 
 #: Encodings that text is read in or written in by mistake.
 SINGLE_READERS = ("cp1252", "latin_1", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "mac_roman", "iso8859_7", "cp1253", "cp1250", "iso8859_2", "iso8859_5", "mac_cyrillic", "cp1254", "iso8859_15", "cp1255", "cp1256")
@@ -151,12 +153,61 @@ def _is_lost(text: str, truncated: bool | None) -> int:
 
 
 class Finder:
-    """Tries chains on the stretches of a text, and adds up what neighbours say; remembers stretches it has seen."""
+    """Tries chains on the stretches of a text, and adds up what neighbours say; remembers stretches it has seen.
 
-    def __init__(self, model: CharModel):
-        self.model = model
+    A source that is garbled throughout makes its signs common, so that they pass for sound. ``parts`` are the counts by
+    group of sources: stretches that would be rare without their own group are judged by the counts of the others too.
+    """
+
+    def __init__(self, model: CharModel, parts: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.model, self.parts = model, parts or {}
         self.seen: dict[str, dict[int, tuple[float, str]]] = {}
-        self.proofs: dict[str, bool] = {}
+        self.proofs: dict[tuple[str, int | None], bool] = {}
+        self.elsewhere: dict[tuple[str, int], dict[int, tuple[float, str]]] = {}
+        self.rests: dict[int, Finder] = {}
+
+    def _rest(self, group: int) -> Finder:
+        """By the counts of all groups but one."""
+        if group not in self.rests:
+            pairs, singles = self.parts[group]
+            self.rests[group] = Finder(CharModel(np.maximum(self.model.pairs - pairs, 0), np.maximum(self.model.singles - singles, 0)))
+        return self.rests[group]
+
+    def _own(self, word: str, group: int) -> bool:
+        """Whether the signs of a stretch stand in this order mostly in its own group."""
+        p = self.model.points(f" {word} ")
+        at = self.model.bucket(p[:-1], p[1:])[(p[1:] > 127) | (p[:-1] > 127)]
+        if not len(at):
+            return False
+        every = self.model.pairs[at]
+        return bool(np.log((np.maximum(every - self.parts[group][0][at], 0) + 0.1) / (every + 0.1)).mean() < np.log(0.5))
+
+    def _common(self, word: str) -> bool:
+        """Whether a stretch is of signs that were seen in this order, and are usual in it."""
+        p = self.model.points(f" {word} ")
+        touched = (p[1:] > 127) | (p[:-1] > 127)
+        if not touched.any():
+            touched[:] = True
+        return bool(self.model.each(p)[touched].mean() > -3.5 and np.log(self.model.pairs[self.model.bucket(p[:-1], p[1:])[touched]] + 0.1).mean() > 0)
+
+    def word_of(self, word: str, group: int | None) -> dict[int, tuple[float, str]]:
+        """``word``, with what the counts of the other groups say of a stretch that stands mostly in its own."""
+        got = self.word(word)
+        if group not in self.parts or word.isascii():
+            return got
+        key = (word, group)
+        merged = self.elsewhere.get(key)
+        if merged is None:
+            merged = got
+            if self._own(word, group):
+                rest = self._rest(group)
+                more = {k: x for k, x in rest.word(word).items() if x[0] > max(0.0, got.get(k, (0.0,))[0]) and rest._common(x[1])}
+                merged = got | more
+            if len(word) <= 64:
+                if len(self.elsewhere) > 100_000:
+                    self.elsewhere.clear()
+                self.elsewhere[key] = merged
+        return merged
 
     def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``CharModel.score`` of many stretches at once."""
@@ -256,9 +307,9 @@ class Finder:
             self.seen[word] = got
         return got
 
-    def proven(self, word: str) -> bool:
+    def proven(self, word: str, group: int | None = None) -> bool:
         """Whether the bytes of a stretch decode as UTF-8 to something likelier; without the other chains."""
-        got = self.proofs.get(word)
+        got = self.proofs.get((word, group))
         if got is None:
             made = []
             for reader in _ENCODERS:
@@ -268,14 +319,14 @@ class Finder:
                     continue
             got = False
             if any(m != word for m in made):
-                got = any(g >= LEAST_PROOF for k, (g, _) in self.word(word).items() if k < _N8)
+                got = any(g >= LEAST_PROOF for k, (g, _) in self.word_of(word, group).items() if k < _N8)
             if len(word) <= 64:
                 if len(self.proofs) > 100_000:
                     self.proofs.clear()
-                self.proofs[word] = got
+                self.proofs[word, group] = got
         return got
 
-    def text(self, text: str, truncated: bool | None) -> dict[int, float]:
+    def text(self, text: str, truncated: bool | None, group: int | None = None) -> dict[int, float]:
         """Log odds of each chain over a whole text; -1 stands for signs that are lost.
 
         A chain's odds are those of its best unbroken run of stretches, in which those that it would spoil count
@@ -299,7 +350,7 @@ class Finder:
                 for word in _SPACES.findall(line):
                     if word.isascii() and "&" not in word and "+A" not in word:
                         continue
-                    got = self.word(word)
+                    got = self.word_of(word, group)
                     if got and _QUOTED.match(word):
                         got = {}
                     row.append(got)
@@ -316,17 +367,17 @@ class Finder:
                 sums[k] = best + (3.0 if proof else 0.0)
         return sums
 
-    def _repaired(self, word: str, chain: int) -> str | None:
+    def _repaired(self, word: str, chain: int, group: int | None) -> str | None:
         """What a stretch was, if it speaks for the record's chain, or clearly for one of its own."""
         if word.isascii() and "&" not in word and "+A" not in word or _QUOTED.match(word):
             return None
-        got = self.word(word)
+        got = self.word_of(word, group)
         if chain in got and got[chain][0] > 0:
             return got[chain][1]
         best = max(((g, t) for k, (g, t) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else 2 * LEAST_SEED)), default=None)
         return best[1] if best else None
 
-    def repair(self, text: str, chain: int) -> str:
+    def repair(self, text: str, chain: int, group: int | None = None) -> str:
         """The text with every stretch undone that speaks for a chain, and with those next to it that the same chain of
         the record can undo and that don't speak against it, like single letters."""
         lines = text.split("\n")
@@ -334,12 +385,12 @@ class Finder:
             if line.isascii() and "&" not in line and "+A" not in line:
                 continue
             spans = [m for m in _SPACES.finditer(line) if not m.group().isascii() or "&" in m.group() or "+A" in m.group()]
-            made = [self._repaired(m.group(), chain) for m in spans]
+            made = [self._repaired(m.group(), chain, group) for m in spans]
             if _N8 <= chain < _UTF7_CHAIN:
                 for j in (*range(len(spans)), *reversed(range(len(spans)))):
                     word = spans[j].group()
                     if made[j] is None and not _QUOTED.match(word) and any(made[n] is not None for n in (j - 1, j + 1) if 0 <= n < len(made)):
-                        got = self.word(word).get(chain)
+                        got = self.word_of(word, group).get(chain)
                         if got is None or got[0] > -2.0:
                             made[j] = undo(word, CHAINS[chain])
             for m, now in reversed(list(zip(spans, made))):
@@ -356,61 +407,76 @@ def chain_name(k: int) -> str:
 
 # -- the character model -----------------------------------------------------------------------------------------------
 
-_COUNTS = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("n", pa.int64())])
+_COUNTS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("slot", pa.int32()), ("n", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch], finder_of=None) -> Iterator[pa.RecordBatch]:
-    pairs, singles = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(1 << 16, np.int64)
+    counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     finder = finder_of() if finder_of else None
-    any_row, held, chars = False, [], 0
+    held: dict[int, list[str]] = {}
+    chars: dict[int, int] = {}
 
-    def add() -> None:
-        nonlocal pairs, singles
-        p = CharModel.points(" " + "\n ".join(held) + " ")
+    def add(part: int) -> None:
+        p = CharModel.points(" " + "\n ".join(held.pop(part)) + " ")
+        pairs, singles = counts.setdefault(part, (np.zeros(PAIR_BUCKETS, np.int64), np.zeros(1 << 16, np.int64)))
         pairs += np.bincount(CharModel.bucket(p[:-1], p[1:]), minlength=PAIR_BUCKETS)
         singles += np.bincount(p, minlength=1 << 16)
-        held.clear()
+        chars[part] = 0
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
                 continue
-            any_row = True
             lines = [x for x in text.split("\n") if x and "�" not in x] if "�" in text or not text.isascii() else [text]
             if finder is not None and not text.isascii():
-                lines = [x if x.isascii() else " ".join(w for w in _SPACES.findall(x) if w.isascii() or not finder.proven(w)) for x in lines]
-            held += lines
-            chars += len(text)
-            if chars > 1_000_000:
-                add()
-                chars = 0
-    if held:
-        add()
-    if any_row:
-        for kind, counts in ((0, pairs), (1, singles)):
-            at = np.flatnonzero(counts)
+                lines = [x if x.isascii() else " ".join(w for w in _SPACES.findall(x) if w.isascii() or not finder.proven(w, part)) for x in lines]
+            held.setdefault(part, []).extend(lines)
+            chars[part] = chars.get(part, 0) + len(text)
+            if chars[part] > 1_000_000:
+                add(part)
+    for part in list(held):
+        add(part)
+    for part, both in counts.items():
+        for kind, n in enumerate(both):
+            at = np.flatnonzero(n)
             for i in range(0, len(at), 100_000):
                 s = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(s.astype(np.int32)), pa.array(counts[s])], schema=_COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), kind, np.int32)), pa.array(np.full(len(s), part, np.int32)), pa.array(s.astype(np.int32)), pa.array(n[s])], schema=_COUNTS)
+
+
+#: Counts that are not nought, by group: slots and numbers of the pairs and of the singles.
+Counts = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _char_model(texts: DataFrame, finder_of=None) -> CharModel:
-    got = texts.mapInArrow(lambda it: _count(it, finder_of), "kind int, slot int, n bigint").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    kind, slot, n = (got.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    pairs, singles = np.zeros(PAIR_BUCKETS), np.zeros(1 << 16)
-    pairs[slot[kind == 0]], singles[slot[kind == 1]] = n[kind == 0], n[kind == 1]
-    return CharModel(pairs.astype(np.float32), singles.astype(np.float32))
+def _char_counts(texts: DataFrame, finder_of=None) -> Counts:
+    """From ``content, part``."""
+    got = texts.mapInArrow(lambda it: _count(it, finder_of), "kind int, part int, slot int, n bigint").groupBy("kind", "part", "slot").agg(F.sum("n").alias("n")).toArrow()
+    kind, part, slot, n = (got.column(c).to_numpy() for c in ("kind", "part", "slot", "n"))
+    of = lambda k, g: (slot[(kind == k) & (part == g)], n[(kind == k) & (part == g)].astype(np.float32))
+    return {int(g): (*of(0, g), *of(1, g)) for g in np.unique(part)}
 
 
-def _finder_of(spark: SparkSession, model: CharModel):
-    shared = spark.sparkContext.broadcast((model.pairs.astype(np.float32), model.singles.astype(np.float32)))
+def _finder(counts: Counts) -> Finder:
+    parts = {}
+    total_pairs, total_singles = np.zeros(PAIR_BUCKETS), np.zeros(1 << 16)
+    for group, (pair, n_pair, single, n_single) in counts.items():
+        pairs, singles = np.zeros(PAIR_BUCKETS, np.float32), np.zeros(1 << 16, np.float32)
+        pairs[pair], singles[single] = n_pair, n_single
+        total_pairs += pairs
+        total_singles += singles
+        parts[group] = (pairs, singles)
+    return Finder(CharModel(total_pairs, total_singles), parts if len(parts) > 1 else None)
+
+
+def _finder_of(spark: SparkSession, counts: Counts):
+    shared = spark.sparkContext.broadcast(counts)
     key = ("finder", id(shared), np.random.default_rng().integers(1 << 62))
 
     def get() -> Finder:
         if key not in _LOCAL:
             for k in [k for k in _LOCAL if k[0] == "finder"]:
                 del _LOCAL[k]
-            _LOCAL[key] = Finder(CharModel(*shared.value))
+            _LOCAL[key] = _finder(shared.value)
         return _LOCAL[key]
 
     return get
@@ -425,18 +491,23 @@ def source_of(path):
     return F.when(first == "", F.lit("none")).otherwise(first)
 
 
+def part_of(path):
+    """The group that the source of a path falls into."""
+    return F.pmod(F.xxhash64(source_of(path)), F.lit(GROUPS)).cast("int")
+
+
 def _evidence(files: DataFrame, finder_of) -> DataFrame:
     """``row, file_id, source, flag, chains``: log odds of each chain of each record that has any."""
 
     @F.arrow_udf("array<struct<k:int,gain:double>>")
-    def gains(content: pa.Array, truncated: pa.Array) -> pa.Array:
+    def gains(content: pa.Array, truncated: pa.Array, part: pa.Array) -> pa.Array:
         finder = finder_of()
         return pa.array(
-            [[{"k": k, "gain": float(g)} for k, g in finder.text(t, cut).items()] if t else [] for t, cut in zip(content.to_pylist(), truncated.to_pylist())],
+            [[{"k": k, "gain": float(g)} for k, g in finder.text(t, cut, g0).items()] if t else [] for t, cut, g0 in zip(content.to_pylist(), truncated.to_pylist(), part.to_pylist())],
             pa.list_(pa.struct([("k", pa.int32()), ("gain", pa.float64())])),
         )
 
-    return files.select(F.monotonically_increasing_id().alias("row"), "file_id", source_of(F.col("path")).alias("source"), F.coalesce("lossy_conversion", F.lit(False)).alias("flag"), gains("content", "truncated").alias("chains"))
+    return files.select(F.monotonically_increasing_id().alias("row"), "file_id", source_of(F.col("path")).alias("source"), F.coalesce("lossy_conversion", F.lit(False)).alias("flag"), gains("content", "truncated", "part").alias("chains"))
 
 
 def _estimate(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -487,12 +558,12 @@ def garbled(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
     none. Contents are read whole.
     """
     spark = files.sparkSession
-    told = spread(files.filter("content <> ''").select("file_id", "path", "content", "truncated", "lossy_conversion"))
-    texts = told.select("content")
-    model = _char_model(texts)
+    told = spread(files.filter("content <> ''").select("file_id", "path", "content", "truncated", "lossy_conversion").withColumn("part", part_of(F.col("path"))))
+    texts = told.select("content", "part")
+    counts = _char_counts(texts)
     for _ in range(model_rounds - 1):
-        model = _char_model(texts, _finder_of(spark, model))
-    found = cut_lineage(_evidence(told, _finder_of(spark, model)))
+        counts = _char_counts(texts, _finder_of(spark, counts))
+    found = cut_lineage(_evidence(told, _finder_of(spark, counts)))
     shares = _estimate(found)
     best = shares.groupBy("row", "file_id").agg(F.sum("share").alias("posterior"), F.max_by("k", "share").alias("k"))
     named = F.udf(chain_name, "string")
@@ -504,15 +575,15 @@ def restore(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
 
     Lost signs stay as they are. Of rows that share a file_id each is restored."""
     spark = files.sparkSession
-    texts = files.filter("content <> ''").select("content")
+    told = files.filter("content <> ''").select("file_id", "content", part_of(F.col("path")).alias("part"))
     found = garbled(files, model_rounds).groupBy("file_id").agg(F.first("chain").alias("chain"), F.max("posterior").alias("posterior"), F.first("k").alias("k"))
-    finder_of = _finder_of(spark, _char_model(texts))
+    finder_of = _finder_of(spark, _char_counts(told.select("content", "part")))
 
     @F.arrow_udf("string")
-    def repaired(content: pa.Array, k: pa.Array) -> pa.Array:
+    def repaired(content: pa.Array, k: pa.Array, part: pa.Array) -> pa.Array:
         finder = finder_of()
-        return pa.array([finder.repair(t, c) for t, c in zip(content.to_pylist(), k.to_pylist())], pa.string())
+        return pa.array([finder.repair(t, c, g) for t, c, g in zip(content.to_pylist(), k.to_pylist(), part.to_pylist())], pa.string())
 
-    return found.join(files.filter("content <> ''").select("file_id", "content"), "file_id").select("file_id", "chain", "posterior", repaired("content", "k").alias("restored"))
+    return found.join(told, "file_id").select("file_id", "chain", "posterior", repaired("content", "k", "part").alias("restored"))
 
 

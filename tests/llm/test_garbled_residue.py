@@ -76,3 +76,27 @@ def test_residue_documents(spark):
 def test_fit_without_marked_passages():
     m = residue.fit(["a b", "c d"], np.zeros(2, int), np.ones(2, int), np.zeros(2, bool), np.zeros(2, bool), np.ones(2))
     assert (m.scores(["a b"], np.zeros(1, int), np.ones(1, int)) < m.threshold).all()
+
+
+def _words(letters, seed, n=4000):
+    rng = np.random.default_rng(seed)
+    follow = {c: rng.choice(list(letters), 4) for c in letters}
+    out = []
+    for _ in range(n):
+        word = [rng.choice(list(letters))]
+        for _ in range(rng.integers(4, 9)):
+            word.append(rng.choice(follow[word[-1]]))
+        out.append("".join(word))
+    return out
+
+
+def test_source_garbled_throughout(spark):
+    words, rng = _words("абвгдежзийклмнопрстуфхцчшщыьэюя", 1, 400), np.random.default_rng(2)
+    line = lambda: " ".join(rng.choice(words, 12))
+    rows = [(i, f"s{i % 11}/a.md", line() if i % 10 == 0 else f"Plain text {i} about files.", False, False) for i in range(1200)]
+    told = [(10_000 + i, line()) for i in range(600)]
+    rows += [(i, "broken/b.md", t.encode("koi8_r").decode("cp1251"), False, False) for i, t in told]
+    df = spark.createDataFrame(rows, "file_id long, path string, content string, truncated boolean, lossy_conversion boolean").repartition(3)
+    got = {r.file_id: r for r in garbled.restore(df).collect()}
+    assert set(got) == {i for i, _ in told}
+    assert {r.chain for r in got.values()} == {"koi8_r read as cp1251"}
