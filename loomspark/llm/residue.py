@@ -36,7 +36,7 @@ _QUOTE = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|!?\[[^\]\n]*\]\[[^\]\n]*\]|\[\[[^\]\n]*\]\]|^\[[^\]\n]*\]:.*$|https?://\S+", re.M)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _SHOWN = re.compile(
-    r"^[ \t]*(?:\[?\d{1,4}[-:./]\d\d[-:./]\d\d\b.*|\d{1,3}(?:\.\d{1,3}){3} .*|[$#%] ?\w+.*[-|&/].*|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b.*|.*[{;]|\}.*|[\[{]\s*[\"'{\[].*|\[[\w.\-]+\]|\w+ = .*"
+    r"^[ \t]*(?:\[?\d{1,4}[-:./]\d\d[-:./]\d\d\b.*|\d{1,3}(?:\.\d{1,3}){3} .*|[$#%] ?\w+.*[-|&/].*|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b.*|.*[{;]|\}.*|[\[{]\s*[\"'].*[\"'\]}:,].*|\[\s*\{\s*[\"'].*|\[(?:[\da-z_][\w.\-]*\]|\w+[.\-][\w.\-]*\]|\w+\](?=\s*\n[ \t]*[\w.\-\"]+[ \t]*[=:]))|\w+ = .*"
     r"|(?:def|class|fn|pub|export|const|let|var|import|from|return|use|for|if|set|done|while|elif|else|fi|echo|with|try|except|async|function)\b[^.!?]*[:({;$=\"'].*|-?\s*[\w\-]+:\s[^ ].*\$\{\{.*|\S+=\S+.*|[A-Z_]+ ?:?= ?.*|.*(?:\s>>\s|=>|->|\)\s*:|\|\||&&).*)$",
     re.M,
 )
@@ -61,6 +61,12 @@ _SLOTS = (
     re.compile(r"\[(?!(?:Insert|Esc|Enter|Tab|Ctrl|Alt|Shift|Del|Delete|Home|End|Space|Return|Backspace|Unreleased|Note|Draft|Added|Changed|Fixed|Removed|Deprecated|Security)\])[A-Z][a-z]+(?:[A-Z][a-z]+)*\](?![(\[:])"),
     re.compile(r"\([^()\n]{2,40} (?:goes here|to be added|to follow)\)", re.I),
 )
+#: Slots that nothing else looks like, by kind, with what they hold: marked before the lines that only show something go.
+_EARLY = (
+    (0, ("{{",), re.compile(rf"(?<!\$)(?:{_SLOTS[0].pattern})")),
+    (3, ("%", "@@", "XX_"), re.compile(r"%[A-Z][A-Z_]{2,40}%|@@[A-Z_]{2,40}@@|\bXX_[A-Z_]{2,40}_XX\b")),
+    (8, ("&&",), re.compile(r"&&[A-Za-z_]{2,40}&&")),
+)
 _SLOT0, _CODE, _SAID, _LINKED = 0xE010, "\ue000", "\ue001", "\ue002"
 _DECOR = re.compile(r"^[ \t>]*(?:[-*+•] |\d+[.)] )?[ \t]*", re.M)
 _HEAD = re.compile(r"^(?:#{1,6}|=+)[ \t]+", re.M)
@@ -75,6 +81,9 @@ def mask(text: str) -> str:
     if "<!--" in text:
         text = _COMMENT.sub("", text)
     text = _INLINE.sub(_CODE, text)
+    for k, hints, slot in _EARLY:
+        if any(h in text for h in hints):
+            text = slot.sub(chr(_SLOT0 + k), text)
     if any(c in text for c in "{};=$>|") or _DATED.search(text):
         text = _SHOWN.sub("", text)
     text = _LINK.sub(_LINKED, text) if "](" in text or "][" in text or "[[" in text or "]:" in text or "://" in text else text

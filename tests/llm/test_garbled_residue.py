@@ -100,3 +100,12 @@ def test_source_garbled_throughout(spark):
     got = {r.file_id: r for r in garbled.restore(df).collect()}
     assert set(got) == {i for i, _ in told}
     assert {r.chain for r in got.values()} == {"koi8_r read as cp1251"}
+
+
+def test_slots_that_begin_a_line():
+    for text in ("{{{{ owner | title }} files were packed.", "{{{ProjectName}}} files were packed by $$Repo$$.", "{{title}}", "{{version}} / all", "[ProjectName]", "&&summary&& files were packed.", "- Status: &&version&&", "%RELEASE_DATE% / XX_REPO_XX", "All of it is set;\n{{title}} ends here."):
+        assert any(residue._ANY_SLOT.search(p) for p in residue.passages(text)), text
+    assert sum(len(residue._ANY_SLOT.findall(p)) for p in residue.passages("{{a}} and {{b}} and [Your Name]")) == 3
+    assert any("files were packed" in p for p in residue.passages("{{name}} files were packed."))
+    for shown in ('{"name": "{{x}}", "b": 1}', '["a", "b"]', '[{"a": 1}]', "[package]\nname = 1", "[Unit]\nAfter=x", "[join.emit]\na = 1", 'run: echo ${{ github.ref }}', "- uses: a@${{ matrix.b }}"):
+        assert not any(residue._ANY_SLOT.search(p) for p in residue.passages(shown)), (shown, residue.passages(shown))
