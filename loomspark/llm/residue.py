@@ -36,10 +36,14 @@ _QUOTE = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|!?\[[^\]\n]*\]\[[^\]\n]*\]|\[\[[^\]\n]*\]\]|^\[[^\]\n]*\]:.*$|https?://\S+", re.M)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _SHOWN = re.compile(
-    r"^[ \t]*(?:\[?\d{1,4}[-:./]\d\d[-:./]\d\d\b.*|\d{1,3}(?:\.\d{1,3}){3} .*|[$#%] ?\w+.*[-|&/].*|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b.*|.*[{;]|\}.*|[\[{]\s*[\"'].*[\"'\]}:,].*|\[\s*\{\s*[\"'].*|\[(?:[\da-z_][\w.\-]*\]|\w+[.\-][\w.\-]*\]|\w+\](?=\s*\n[ \t]*[\w.\-\"]+[ \t]*[=:]))|\w+ = .*"
-    r"|(?:def|class|fn|pub|export|const|let|var|import|from|return|use|for|if|set|done|while|elif|else|fi|echo|with|try|except|async|function)\b[^.!?]*[:({;$=\"'].*|-?\s*[\w\-]+:\s[^ ].*\$\{\{.*|\S+=\S+.*|[A-Z_]+ ?:?= ?.*|.*(?:\s>>\s|=>|->|\)\s*:|\|\||&&).*)$",
+    r"^[ \t]*(?:\[?\d{1,4}[-:./]\d\d[-:./]\d\d\b.*|\d{1,3}(?:\.\d{1,3}){3} .*|\$ ?(?!\d|[A-Za-z]+\$)\w+.*[-|&/].*|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b.*|.*[{;]|\}.*|[\[{]\s*[\"'].*[\"'\]}:,].*|\[\s*\{\s*[\"'].*|\[(?:[\da-z_][\w.\-]*\]|\w+[.\-][\w.\-]*\]|\w+\](?=\s*\n[ \t]*[\w.\-\"]+[ \t]*[=:]))|\w+ = .*"
+    r"|(?:def|class|fn|pub|export|const|let|var|import|from|return|use|for|if|set|done|while|elif|else|fi|echo|with|try|except|async|function)\b[^.!?]*[:({;$=\"'].*|-?\s*[\w\-]+:\s[^ ].*\$\{\{.*|\S+=\S+.*|[A-Z_]+ ?:?= ?.*)$",
     re.M,
 )
+#: A line with an operator, the operator with what it stands between, and words in a row as only sentences have them.
+_OPERATED = re.compile(r"^.*(?:\s>>\s|=>|->|\)\s*:|\|\||&&).*$", re.M)
+_OPERATION = re.compile(r"\S*[ \t]*(?:(?<=\s)>>(?=\s)|=>|->|\)\s*:|\|\||&&)[ \t]*\S*")
+_SAYS = re.compile(r"(?:(?<![\w.$/\-])[^\W\d_]{2,}[,:]? +){3}[^\W\d_]{2,}|[぀-ヿ一-鿿]{6}|[가-힯]+ [가-힯]+ [가-힯]+")
 _TAG = re.compile(r"</?(?:h[1-6]|p|b|i|em|strong|hr|br|title|body|head|html|div|span|center|pre|a|ul|ol|li|section|main|header|footer|noscript)\b[^>\n]*>", re.I)
 
 #: Kinds of unfilled slots. Words are fixed values: what asks to fill something in, in the languages of the corpus.
@@ -68,12 +72,20 @@ _EARLY = (
     (8, ("&&",), re.compile(r"&&[A-Za-z_]{2,40}&&")),
 )
 _SLOT0, _CODE, _SAID, _LINKED = 0xE010, "\ue000", "\ue001", "\ue002"
+_EARLY_SLOT = re.compile("[" + "".join(chr(_SLOT0 + k) for k, _, _ in _EARLY) + "]")
+_ERROR_TITLE = re.compile(r"\b[45]\d\d\b.*\b(?:not found|forbidden|unauthorized|unavailable|gateway|server error|bad request)\b", re.I)
 _DECOR = re.compile(r"^[ \t>]*(?:[-*+•] |\d+[.)] )?[ \t]*", re.M)
 _HEAD = re.compile(r"^(?:#{1,6}|=+)[ \t]+", re.M)
 _HEADED = "\ue003"
 _CUT = re.compile(r"[.!?…。！？\n\t|/](?:(?<=[。！？\n\t])|(?<=[.!?…])[\"”’)]*(?=\s)|(?<=\s[|/])(?=\s))")
 
 
+def _without_operations(line: re.Match) -> str:
+    """A line without its operators and what they stand between; nothing of it if no sentence is left."""
+    rest = _OPERATION.sub(_CODE, line.group())
+    return rest if _SAYS.search(rest) or _ERROR_TITLE.search(rest) or _EARLY_SLOT.search(rest) else ""
+
+
 def mask(text: str) -> str:
     """A text with what it only shows taken out and its slots marked by kind."""
     if "```" in text or "~~~" in text:
@@ -85,7 +97,7 @@ def mask(text: str) -> str:
         if any(h in text for h in hints):
             text = slot.sub(chr(_SLOT0 + k), text)
     if any(c in text for c in "{};=$>|") or _DATED.search(text):
-        text = _SHOWN.sub("", text)
+        text = _OPERATED.sub(_without_operations, _SHOWN.sub("", text))
     text = _LINK.sub(_LINKED, text) if "](" in text or "][" in text or "[[" in text or "]:" in text or "://" in text else text
     text = _QUOTE.sub(_SAID, text)
     if "<" in text:

@@ -109,3 +109,16 @@ def test_slots_that_begin_a_line():
     assert any("files were packed" in p for p in residue.passages("{{name}} files were packed."))
     for shown in ('{"name": "{{x}}", "b": 1}', '["a", "b"]', '[{"a": 1}]', "[package]\nname = 1", "[Unit]\nAfter=x", "[join.emit]\na = 1", 'run: echo ${{ github.ref }}', "- uses: a@${{ matrix.b }}"):
         assert not any(residue._ANY_SLOT.search(p) for p in residue.passages(shown)), (shown, residue.passages(shown))
+
+
+def test_headings_and_operators_are_judged():
+    more = "\n\nx = 1;\n"
+    for text in ("# 404 - Page not found", "# Error 503 | Service unavailable", "# Sign-in required", "% 404 - Page not found", "Click Menu -> Options and then please enable JavaScript to view this page."):
+        assert residue.passages(text + more), text
+    for text in ("# 404 - Not found", "Go to Menu -> Start, the page you requested was not found and has been moved."):
+        assert any(residue.weak_labels(residue.passages(text + more))), text
+    assert any(p.startswith(residue._HEADED) for p in residue.passages("# Sign-in required" + more))
+    for slot in ("$SectionTitle$ / all", "Use this -> that for all the notes of {{name}} as they come"):
+        assert any(residue._ANY_SLOT.search(p) for p in residue.passages(slot + more)), slot
+    for shown in ("$ git log --oneline | head", "list.map((x) => x.lines)", "a || b", "fn f(x: u8) -> u8", 'cut "$f" --model 7 >> "${OUT}/mark.log"'):
+        assert not residue.passages(shown + more), (shown, residue.passages(shown + more))
