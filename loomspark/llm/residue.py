@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.session import spread
+from loomspark.session import cut_lineage, spread
 
 #: Documents whose passages may be drawn to fit the classifier, and passages without label drawn from them.
 LABELLED_DOCUMENTS, UNLABELLED_PASSAGES = 15_000, 15_000
@@ -317,6 +317,7 @@ class Classifier:
     threshold: float = 0.0
     precision: float = 0.0
     recall: float = 0.0
+    rules: bool = False  # no sound passage was there to tell the marked ones from, so what the rules mark is residue
 
     def scores(self, parts: list[str], place: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of every passage."""
@@ -336,11 +337,13 @@ class Classifier:
 def fit(parts: list[str], place: np.ndarray, size: np.ndarray, labels: np.ndarray, held: np.ndarray, counts: np.ndarray) -> Classifier:
     """Logistic regression with an L2 penalty, classes weighted alike in total up to a factor; threshold from ``held``.
 
-    Deterministic. The threshold found, the weights are fitted again with all hosts. Without any marked passage it marks nothing.
+    Deterministic. The threshold found, the weights are fitted again with all hosts. Without any marked passage it marks nothing,
+    without any sound one what the rules mark.
     """
-    empty = Classifier(np.zeros(WIDTH, np.float32), -1.0)
-    if not len(parts) or not labels.any() or labels.all():
-        return empty
+    if not len(parts) or not labels.any():
+        return Classifier(np.zeros(WIDTH, np.float32), -1.0)
+    if labels.all():
+        return Classifier(np.zeros(WIDTH, np.float32), -1.0, rules=True)
     p, starts = _points(parts)
     owner = np.zeros(len(p), np.int32)
     owner[starts[1:]] = 1
@@ -434,7 +437,8 @@ def _draw(every: int):
 def train(documents: DataFrame, bound: int = LABELLED_DOCUMENTS, unlabelled: int = UNLABELLED_PASSAGES) -> Classifier:
     """Fits the classifier on passages of at most about ``bound`` documents, drawn by the hash of their text.
 
-    A fifth of the hosts, by the hash of their name, is held out. A passage weighs as the root of its
+    Marked passages are at most two thirds of the sample, so that sound ones remain however much is marked; each are drawn
+    by their hash. A fifth of the hosts, by the hash of their name, is held out. A passage weighs as the root of its
     occurrences, and is marked if all of them are.
     """
     n = documents.count()
@@ -443,7 +447,10 @@ def train(documents: DataFrame, bound: int = LABELLED_DOCUMENTS, unlabelled: int
     every = max(1, int(n * share * 12 / unlabelled))
     told = spread(drawn.select(F.coalesce("project", F.lit("none")).alias("host"), "text")).mapInArrow(_draw(every), "host string, passage string, place int, size int, label boolean")
     told = told.groupBy("passage").agg(F.min("host").alias("host"), F.min("place").alias("place"), F.min("size").alias("size"), F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
-    got = told.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0).orderBy(F.desc("label"), F.xxhash64("passage"), "passage").limit(3 * unlabelled).toArrow()
+    told = cut_lineage(told.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0))
+    n_marked = min(told.filter("label").count(), 2 * unlabelled)
+    some = lambda which, most: told.filter(which).orderBy(F.xxhash64("passage"), "passage").limit(most)
+    got = some("label", n_marked).unionByName(some("not label", 3 * unlabelled - n_marked)).toArrow()
     col = {c: got.column(c).to_numpy(zero_copy_only=False) for c in ("place", "size", "label", "held", "n")}
     return fit(got.column("passage").to_pylist(), col["place"].astype(np.int64), col["size"].astype(np.int64), col["label"].astype(bool), col["held"].astype(bool), col["n"].astype(np.float64))
 
@@ -472,6 +479,9 @@ def best_passages(texts: list[str | None], model: Classifier) -> list[tuple[floa
         if not text or text.isspace():
             continue
         found = passages(text)
+        if model.rules:
+            out[o] = next(((1.0, p) for p, marked in zip(found, weak_labels(found)) if marked), None)
+            continue
         parts += found
         owner += [o] * len(found)
         place += range(len(found))

@@ -122,3 +122,20 @@ def test_headings_and_operators_are_judged():
         assert any(residue._ANY_SLOT.search(p) for p in residue.passages(slot + more)), slot
     for shown in ("$ git log --oneline | head", "list.map((x) => x.lines)", "a || b", "fn f(x: u8) -> u8", 'cut "$f" --model 7 >> "${OUT}/mark.log"'):
         assert not residue.passages(shown + more), (shown, residue.passages(shown + more))
+
+
+def test_sound_passages_stay_in_the_sample(spark):
+    kinds = "abcdefghijklmnopqrst"
+    rows = [(i, f"Please enable JavaScript to see {kinds[i % 20] * 3} {kinds[i // 20] * 4} of the notes.", f"h{i % 23}") for i in range(200)]
+    rows += [(1000 + i, f"The {kinds[i % 20] * 3} reader keeps the {kinds[i // 20] * 4} order.", f"h{i % 23}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, project string").repartition(4)
+    got = {r.doc_id for r in residue.residue(df, residue.train(df, unlabelled=40)).collect()}
+    assert got == set(range(200))
+
+
+def test_fit_without_sound_passages(spark):
+    rows = [(i, "Page not found" if i % 2 else "Lorem ipsum dolor sit amet, consectetur", f"h{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, project string").repartition(4)
+    model = residue.train(df)
+    assert residue.residue(df, model).count() == 40
+    assert residue.best_passages(["The reader keeps the order."], model) == [None]
