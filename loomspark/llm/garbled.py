@@ -550,34 +550,39 @@ def _estimate(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out
 
 
-def garbled(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
-    """``file_id, chain, posterior`` of the rows of ``files`` that were read in a wrong encoding, one row each.
-
-    Needs ``file_id, path, content, truncated, lossy_conversion``; other columns are ignored. A null flag counts as not
-    set, a null or empty content is no case, rows with equal file_id or content are judged each. An empty table gives
-    none. Contents are read whole.
-    """
+def _judged(files: DataFrame, model_rounds: int):
+    """``file_id, chain, posterior, k`` of the affected rows, and the finder by whose model they were found."""
     spark = files.sparkSession
     told = spread(files.filter("content <> ''").select("file_id", "path", "content", "truncated", "lossy_conversion").withColumn("part", part_of(F.col("path"))))
     texts = told.select("content", "part")
     counts = _char_counts(texts)
     for _ in range(model_rounds - 1):
         counts = _char_counts(texts, _finder_of(spark, counts))
-    found = cut_lineage(_evidence(told, _finder_of(spark, counts)))
+    finder_of = _finder_of(spark, counts)
+    found = cut_lineage(_evidence(told, finder_of))
     shares = _estimate(found)
     best = shares.groupBy("row", "file_id").agg(F.sum("share").alias("posterior"), F.max_by("k", "share").alias("k"))
     named = F.udf(chain_name, "string")
-    return best.filter("posterior > 0.5").select("file_id", named("k").alias("chain"), "posterior", "k")
+    return best.filter("posterior > 0.5").select("file_id", named("k").alias("chain"), "posterior", "k"), finder_of
+
+
+def garbled(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
+    """``file_id, chain, posterior`` of the rows of ``files`` that were read in a wrong encoding, one row each.
+
+    Needs ``file_id, path, content, truncated, lossy_conversion``; other columns are ignored. A null flag counts as not
+    set, a null or empty content is no case, rows with equal file_id or content are judged each. An empty table gives
+    none. Contents are read whole.
+    """
+    return _judged(files, model_rounds)[0]
 
 
 def restore(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
     """``file_id, chain, posterior, restored``: the affected rows with their text as far as it can still be known.
 
     Lost signs stay as they are. Of rows that share a file_id each is restored."""
-    spark = files.sparkSession
     told = files.filter("content <> ''").select("file_id", "content", part_of(F.col("path")).alias("part"))
-    found = garbled(files, model_rounds).groupBy("file_id").agg(F.first("chain").alias("chain"), F.max("posterior").alias("posterior"), F.first("k").alias("k"))
-    finder_of = _finder_of(spark, _char_counts(told.select("content", "part")))
+    judged, finder_of = _judged(files, model_rounds)
+    found = judged.groupBy("file_id").agg(F.first("chain").alias("chain"), F.max("posterior").alias("posterior"), F.first("k").alias("k"))
 
     @F.arrow_udf("string")
     def repaired(content: pa.Array, k: pa.Array, part: pa.Array) -> pa.Array:

@@ -139,3 +139,10 @@ def test_fit_without_sound_passages(spark):
     model = residue.train(df)
     assert residue.residue(df, model).count() == 40
     assert residue.best_passages(["The reader keeps the order."], model) == [None]
+
+
+def test_repair_by_the_model_that_found(files, monkeypatch):
+    made, real = [], garbled._char_counts
+    monkeypatch.setattr(garbled, "_char_counts", lambda *a: made.append(a) or real(*a))
+    assert garbled.restore(files).count() == 8
+    assert len(made) == garbled.MODEL_ROUNDS  # no other, rawer counts for the repair
