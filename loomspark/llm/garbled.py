@@ -191,7 +191,8 @@ class Finder:
         return bool(self.model.each(p)[touched].mean() > -3.5 and np.log(self.model.pairs[self.model.bucket(p[:-1], p[1:])[touched]] + 0.1).mean() > 0)
 
     def word_of(self, word: str, group: int | None) -> dict[int, tuple[float, str]]:
-        """``word``, with what the counts of the other groups say of a stretch that stands mostly in its own."""
+        """``word``, with what the counts of the other groups say of a stretch that stands mostly in its own, where those of
+        all give no clear evidence."""
         got = self.word(word)
         if group not in self.parts or word.isascii():
             return got
@@ -199,7 +200,7 @@ class Finder:
         merged = self.elsewhere.get(key)
         if merged is None:
             merged = got
-            if self._own(word, group):
+            if max((g for g, _ in got.values()), default=0.0) < LEAST_SEED and self._own(word, group):
                 rest = self._rest(group)
                 more = {k: x for k, x in rest.word(word).items() if x[0] > max(0.0, got.get(k, (0.0,))[0]) and rest._common(x[1])}
                 merged = got | more
