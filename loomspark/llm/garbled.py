@@ -91,6 +91,24 @@ _BY_READER = {r: [(k, w) for k, (q, w) in enumerate(CHAINS[:-1]) if q == r] for
 _N8, _UTF7_CHAIN = len(CHAINS_UTF8), len(CHAINS) - 1
 
 
+def _utf8_runs(reader: str) -> re.Pattern:
+    """Signs whose bytes, in a reader of one byte a sign, are characters of UTF-8 outside ASCII."""
+    signs = [[] for _ in range(256)]
+    for c in map(chr, (*range(0x80, 0x2600), *range(0xF8FF, 0xF900), *range(0xFB00, 0xFB07))):
+        try:
+            signs[_ENCODERS[reader](c)[0]].append(re.escape(c))
+        except UnicodeError:
+            continue
+    of = lambda a, b: "[" + "".join(x for y in signs[a : b + 1] for x in y) + "]"
+    more = of(0x80, 0xBF)
+    return re.compile(f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{{2}}|{of(0xF0, 0xF4)}{more}{{3}})+")
+
+
+_UTF8_RUNS = {r: _utf8_runs(r) for r in SINGLE_READERS}
+#: Runs of one script; signs that belong to none stand with the Latin ones, as wrong readings hold them.
+_SCRIPT = re.compile(r"[\u0370-\u03ff]+|[\u0400-\u052f]+|[\u0530-\u08ff]+|[\u0900-\u1dff]+|[\u2e80-\ud7af\uf900-\ufaff\ufe30-\uffef]+|[\U00020000-\U0003ffff]+|[\x80-\u036f\u1e00-\u2e7f\ud7b0-\uf8ff\ufb00-\ufe2f\ufff0-\U0001ffff]+")
+
+
 def _compat(c: str) -> bool:
     """Whether a letter is a ligature or other presentation form, which nobody types."""
     return c > "\x7f" and c.isalpha() and unicodedata.decomposition(c).startswith("<compat>")
@@ -162,6 +180,7 @@ class Finder:
     def __init__(self, model: CharModel, parts: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
         self.model, self.parts = model, parts or {}
         self.seen: dict[str, dict[int, tuple[float, str]]] = {}
+        self.runs: dict[str, dict[int, tuple[float, str]]] = {}
         self.proofs: dict[tuple[str, int | None], bool] = {}
         self.elsewhere: dict[tuple[str, int], dict[int, tuple[float, str]]] = {}
         self.rests: dict[int, Finder] = {}
@@ -278,6 +297,22 @@ class Finder:
             out[k] = (max(-MOST_GAIN, min(gain, MOST_GAIN, 8.0 + 3.0 * foreign)), text)
         return out
 
+    def _better(self, word: str, whole: str) -> bool:
+        """Whether a stretch is likelier with a part of it undone, among the signs that stay."""
+        sums, _ = self._scores([word, whole])
+        return bool(sums[1] - sums[0] >= LEAST_PROOF) and not _MIXED.search(whole)
+
+    def _run(self, run: str) -> dict[int, tuple[float, str]]:
+        """``_try`` of a part of a stretch, remembered."""
+        got = self.runs.get(run)
+        if got is None:
+            got = self._try(run)
+            if len(run) <= 64:
+                if len(self.runs) > 100_000:
+                    self.runs.clear()
+                self.runs[run] = got
+        return got
+
     def word(self, word: str) -> dict[int, tuple[float, str]]:
         """``_try`` of a stretch as it stands, of its entities, its UTF-7 escapes, or of the runs outside ASCII in it."""
         got = self.seen.get(word)
@@ -295,11 +330,26 @@ class Finder:
                 plain = word
             if plain != word and not plain.isascii() and all(c.isalpha() or c in "–—’“”" for c in plain if c > "\x7f") and self._scores([plain])[1][0] > SOUND:
                 got = {_UTF7_CHAIN: (6.0, plain)}
-        if not word.isascii() and max((g for g, _ in got.values()), default=0.0) < LEAST_SEED and not self._calm(word):
-            for run in set(_RUN.findall(word)):
+        if not word.isascii() and max((g for g, _ in got.values()), default=0.0) < LEAST_SEED:
+            for k, reader in enumerate(SINGLE_READERS):  # the first chains are theirs
+                gains: list[float] = []
+
+                def undone(m: re.Match) -> str:
+                    g, text = self._run(m.group()).get(k, (0.0, ""))
+                    gains.append(g)
+                    return text if g >= LEAST_PROOF else m.group()
+
+                whole = _UTF8_RUNS[reader].sub(undone, word)
+                if whole != word and self._better(word, whole) and (g := min(MOST_GAIN, sum(x for x in gains if x >= LEAST_PROOF))) > got.get(k, (0.0,))[0]:
+                    got[k] = (g, whole)
+            runs = set(_RUN.findall(word))
+            calm = self._calm(word)
+            for run in runs.union(*(_SCRIPT.findall(x) for x in runs)):
                 if run != word and len(run) > 1:
-                    for k, (g, text) in self._try(run).items():
+                    for k, (g, text) in self._run(run).items():
                         whole = word.replace(run, text)
+                        if (calm or run not in runs) and g >= LEAST_PROOF and not self._better(word, whole):
+                            continue
                         if g >= (LEAST_PROOF if k < _N8 else 2 * LEAST_SEED) and g > got.get(k, (0.0,))[0] and (k < _N8 or not _MIXED.search(whole)):
                             got[k] = (g, whole)
         if len(word) <= 64:
@@ -319,7 +369,7 @@ class Finder:
                 except (UnicodeError, ValueError):
                     continue
             got = False
-            if any(m != word for m in made):
+            if any(m != word for m in made) or any(x.search(word) for x in _UTF8_RUNS.values()):
                 got = any(g >= LEAST_PROOF for k, (g, _) in self.word_of(word, group).items() if k < _N8)
             if len(word) <= 64:
                 if len(self.proofs) > 100_000:

@@ -146,3 +146,16 @@ def test_repair_by_the_model_that_found(files, monkeypatch):
     monkeypatch.setattr(garbled, "_char_counts", lambda *a: made.append(a) or real(*a))
     assert garbled.restore(files).count() == 8
     assert len(made) == garbled.MODEL_ROUNDS  # no other, rawer counts for the repair
+
+
+def test_garbled_runs_inside_foreign_text(spark):
+    sound = [FR, RU, DE, ZH, RU.replace(" ", " — "), "слово—слово", "文件’文件", ZH.replace("，", "’"), "строка показывает неверную кодировку", "ПРОПИСНЫЕ БУКВЫ"]
+    rows = [(i, f"p{i % 7}/a.md", sound[i % len(sound)], False, False) for i in range(1600)]
+    bad = {
+        5000: ("журналâ€”каталоги", "журнал—каталоги"),
+        5001: ("段落应当在空行处â€™切开避免丢失", "段落应当在空行处’切开避免丢失"),
+        5003: ("отрывкиâ€”каталогиâ€™журнал", "отрывки—каталоги’журнал"),
+    }
+    rows += [(i, "p1/b.md", t, False, False) for i, (t, _) in bad.items()]
+    df = spark.createDataFrame(rows, "file_id long, path string, content string, truncated boolean, lossy_conversion boolean").repartition(3)
+    assert {r.file_id: r.restored for r in garbled.restore(df).collect()} == {i: t for i, (_, t) in bad.items()}
