@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +94,13 @@ def reverse(graph: DataFrame, path: str | None = None) -> DataFrame:
     return df.select(F.col("dst").alias("path"), F.col("src").alias("used_by"))
 
 
-def on_cycles(graph: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _rounds(most: int | None) -> Iterator[int]:
+    """Rounds of a loop that ends by itself; an error if a given number doesn't do."""
+    yield from count() if most is None else range(most)
+    raise RuntimeError(f"not settled after {most} rounds")
+
+
+def on_cycles(graph: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``path, cycle``: nodes of non-trivial components and of self-imports, named by the first path of the component.
 
     The graph is trimmed first: nodes without a way in or out can't be on a cycle and are peeled off, round by round.
@@ -101,7 +109,7 @@ def on_cycles(graph: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """
     core = cut_lineage(graph.select("src", "dst").distinct())
     n = core.count()
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         core2 = core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         core2 = cut_lineage(core2.select("src", "dst"))
         m = core2.count()
@@ -110,7 +118,7 @@ def on_cycles(graph: DataFrame, max_rounds: int = 1000) -> DataFrame:
             break
         n = m
     out = None
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         if core.isEmpty():
             break
         color = _spread_min(core, "src", "dst", max_rounds)
@@ -128,11 +136,11 @@ def on_cycles(graph: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return out if out is not None else graph.select(F.col("src").alias("path"), F.col("src").alias("cycle")).limit(0)
 
 
-def _spread_min(core: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
+def _spread_min(core: DataFrame, a: str, b: str, max_rounds: int | None) -> DataFrame:
     """``node, mark``: the least node from which each node is reached, itself included."""
     marks = core.select(F.col(a).alias("node")).union(core.select(F.col(b).alias("node"))).distinct().withColumn("mark", F.col("node"))
     marks = cut_lineage(marks)
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         sent = core.join(marks.withColumnRenamed("node", a), a).groupBy(F.col(b).alias("node")).agg(F.min("mark").alias("seen"))
         new = cut_lineage(marks.join(sent, "node", "left").select("node", F.least("mark", "seen").alias("mark"), (F.col("seen") < F.col("mark")).alias("moved")))
         moved = new.filter("moved").limit(1).count()
@@ -142,12 +150,12 @@ def _spread_min(core: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
     return marks
 
 
-def _reach_back(within: DataFrame, max_rounds: int) -> DataFrame:
+def _reach_back(within: DataFrame, max_rounds: int | None) -> DataFrame:
     """``node, color`` of the nodes that reach the node their colour is named by, over edges of one colour."""
     reached = cut_lineage(within.select(F.col("color").alias("node"), "color").distinct())
     edge = within.select(F.col("src").alias("from"), F.col("dst").alias("node"), "color")
     front = reached
-    for _ in range(max_rounds):
+    for _ in _rounds(max_rounds):
         new = edge.join(front, ["node", "color"]).select(F.col("from").alias("node"), "color").distinct().join(reached, ["node", "color"], "left_anti")
         new = cut_lineage(new)
         if new.isEmpty():

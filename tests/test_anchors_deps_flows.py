@@ -212,3 +212,10 @@ def test_watch_stream(spark, tmp_path):
     assert {(r.kind, r.changes) for r in watch.windowed_changes(batch, "1 hour").collect()} == {("edit", 3), ("new", 1)}
     assert {r.changes for r in watch.debounced(batch, "45 seconds").collect()} == {3, 1}
     assert watch.windowed_changes(batch.limit(0), "1 hour").count() == 0
+
+
+def test_cycle_longer_than_the_rounds(spark):
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        D.on_cycles(ring, max_rounds=2).collect()
+    assert {(r.path, r.cycle) for r in D.on_cycles(ring).collect()} == {(f"n{i}", "n0") for i in range(6)}
