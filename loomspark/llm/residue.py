@@ -23,8 +23,14 @@ from loomspark.session import cut_lineage, spread
 
 #: Documents whose passages may be drawn to fit the classifier, and passages without label drawn from them.
 LABELLED_DOCUMENTS, UNLABELLED_PASSAGES = 15_000, 15_000
-#: Hashed n-gram features, their lengths, strength of the regularisation, rounds of fitting; least threshold.
+#: Hashed n-gram features, their lengths, strength of the regularisation, rounds of fitting, least threshold.
 BUCKETS, ORDERS, RIDGE, EPOCHS, LEAST = 1 << 18, (3, 5, 8), 1e-6, 60, 0.5
+#: Parts that hosts are dealt into so that each can be judged by the others, rounds of those fits from the start and on from
+#: there, and the quantile of the
+#: scores of marked passages from which one without a mark is doubtful; what the F1 of the threshold may lack.
+FOLDS, FOLD_EPOCHS, MORE_EPOCHS, DOUBT, NEAR_BEST = 3, 22, 14, 0.25, 0.02
+#: Passages of a text that counts as one short page.
+SHORT_PAGE = 8
 #: Characters that are scored at once.
 CHUNK_CHARS = 1_000_000
 
@@ -35,6 +41,11 @@ _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTE = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|「[^」\n]{1,200}」|『[^』\n]{1,200}』|‹[^›\n]{1,200}›|‘[^’\n]{1,200}’")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|!?\[[^\]\n]*\]\[[^\]\n]*\]|\[\[[^\]\n]*\]\]|^\[[^\]\n]*\]:.*$|https?://\S+", re.M)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
+#: A line of underscores alone is a rule between two sections.
+_BREAK = re.compile(r"^ {0,3}(?:_[ \t]*){3,}$", re.M)
+#: What a server sends in place of a page, outside of code: the body of a refused request, the trace of a failed renderer.
+_BODY = re.compile(r'^[ \t]*\{\s*"(?:error|errors|fault|exception)"\s*:\s*[{\["].*\}[ \t]*$', re.M)
+_TRACE = re.compile(r"^Traceback \(most recent call last\):\n(?:[ \t]+.*\n)+[\w.]+(?:Error|Exception|Exit|Interrupt)\b.*$", re.M)
 _SHOWN = re.compile(
     r"^[ \t]*(?:\[?\d{1,4}[-:./]\d\d[-:./]\d\d\b.*|\d{1,3}(?:\.\d{1,3}){3} .*|\$ ?(?!\d|[A-Za-z]+\$)\w+.*[-|&/].*|(?:DEBUG|INFO|WARN|WARNING|TRACE)\b.*|.*[{;]|\}.*|[\[{]\s*[\"'].*[\"'\]}:,].*|\[\s*\{\s*[\"'].*|\[(?:[\da-z_][\w.\-]*\]|\w+[.\-][\w.\-]*\]|\w+\](?=\s*\n[ \t]*[\w.\-\"]+[ \t]*[=:]))|\w+ = .*"
     r"|(?:def|class|fn|pub|export|const|let|var|import|from|return|use|for|if|set|done|while|elif|else|fi|echo|with|try|except|async|function)\b[^.!?]*[:({;$=\"'].*|-?\s*[\w\-]+:\s[^ ].*\$\{\{.*|\S+=\S+.*|[A-Z_]+ ?:?= ?.*)$",
@@ -71,6 +82,8 @@ _EARLY = (
     (3, ("%", "@@", "XX_"), re.compile(r"%[A-Z][A-Z_]{2,40}%|@@[A-Z_]{2,40}@@|\bXX_[A-Z_]{2,40}_XX\b")),
     (8, ("&&",), re.compile(r"&&[A-Za-z_]{2,40}&&")),
 )
+_SENT, _TRACED = len(_SLOTS), len(_SLOTS) + 1
+_KINDS = _TRACED + 1
 _SLOT0, _CODE, _SAID, _LINKED = 0xE010, "\ue000", "\ue001", "\ue002"
 _EARLY_SLOT = re.compile("[" + "".join(chr(_SLOT0 + k) for k, _, _ in _EARLY) + "]")
 _ERROR_TITLE = re.compile(r"\b[45]\d\d\b.*\b(?:not found|forbidden|unauthorized|unavailable|gateway|server error|bad request)\b", re.I)
@@ -92,7 +105,13 @@ def mask(text: str) -> str:
         text = _FENCE.sub("\n", text)
     if "<!--" in text:
         text = _COMMENT.sub("", text)
+    if "___" in text:
+        text = _BREAK.sub("", text)
     text = _INLINE.sub(_CODE, text)
+    if '{"' in text:
+        text = _BODY.sub(chr(_SLOT0 + _SENT), text)
+    if "Traceback" in text:
+        text = _TRACE.sub(chr(_SLOT0 + _TRACED), text)
     for k, hints, slot in _EARLY:
         if any(h in text for h in hints):
             text = slot.sub(chr(_SLOT0 + k), text)
@@ -157,7 +176,6 @@ _LITERALS = (
     "does not start with scripts off",
     "requires a script-enabled client",
     "preciso permitir scripts",
-    "scripting switched off",
     "could not run its scripts",
     "script blocker prevents",
     "lorem ipsum dolor",
@@ -218,28 +236,64 @@ _FIND = ahocorasick.Automaton()
 for _word in _LITERALS:
     _FIND.add_word(_word, 1)
 _FIND.make_automaton()
-_ANY_SLOT = re.compile(f"[{chr(_SLOT0)}-{chr(_SLOT0 + len(_SLOTS) - 1)}]")
+_ANY_SLOT = re.compile(f"[{chr(_SLOT0)}-{chr(_SLOT0 + _KINDS - 1)}]")
+
+
+#: Titles under which an error page puts its message, and ways to say that scripts are needed, by word class.
+_TITLED = re.compile(
+    r"(?:(?:(?:http|error|status:?) ?)?[45]\d\d ?[|:–-]? ?)?(?:not found|forbidden|unauthorized|bad gateway|service unavailable|internal server error|bad request|(?:gateway|request) time-?out|too many requests|gone)[.:|–-]? (?=(?-i:[A-Z])[\w']*(?: [\w']+){2})"
+    r"|(?:(?:http|error|status:?) ?)[45]\d\d[.:|–-]? (?=(?-i:[A-Z]))|(?:sorry|oops|whoops(?:, that did not work)?|something (?:went wrong|broke)|unexpected failure|server trouble)[.!]? (?=(?-i:[A-Z]))"
+    r"|(?:this )?[\w ]{1,30} (?:can.t be shown|missing)[.!]? (?=(?-i:[A-Z]))",
+    re.I,
+)
+_SCRIPTS = r"(?:java ?script|js|scripts?|scripting|script support|running scripts|client-side scripting|active content)"
+_NOTICE = re.compile(
+    rf"\b{_SCRIPTS} (?:(?:is|are|has been|have been|seems? to be|appears? to be) (?:currently )?(?:disabled|required|blocked|needed|turned off|switched off|unavailable)|(?:must|needs? to) be (?:enabled|active|turned on|allowed)|(?:was |were )?not detected)\b"
+    rf"|^(?:please |you (?:need|have) to )?(?:enable|allow|activate|turn on|switch on) {_SCRIPTS}\b|\b(?:needs|requires) (?:a browser with )?{_SCRIPTS}(?: and cookies)?(?: (?:turned|switched) on| enabled)?[.]?$"
+    rf"|^without {_SCRIPTS} there is|\ballow {_SCRIPTS} (?:and reload|for this)|^if nothing happens, allow"
+    r"|禁用(?:了)?(?:脚本|javascript)|启用(?:脚本|javascript)|(?:javascript|スクリプト)(?:を有効に|が無効になって)|(?:자바스크립트|스크립트)(?:를|을|가) ?(?:켜|꺼져|활성)|требуется поддержка (?:скриптов|javascript)|включите (?:скрипты|javascript)",
+    re.I,
+)
+#: That nothing could be sent or drawn, and filler by what it is made of.
+_FAILED = re.compile(r"\bfailed to render because\b|\bhas been removed, renamed\b|^the connection was (?:reset|refused|closed)\b|^we are down for maintenance\b|^(?:request|gateway) time-?out$", re.I)
+_FILLER = re.compile(
+    r"^(?:mock|sample|dummy|placeholder|filler) [\w ]{1,40} (?:for the [\w ]{1,40} template|for layout purposes(?: only)?)[.]?$|^(?:add|enter|insert|type|put|write) your [\w ]{1,40} here[.]?$|^replace me[.]?$"
+    r"|\b(?:asdf|qwer|zxcv|jkl)\b.{0,20}\b(?:asdf|qwer|zxcv|jkl)\b|^foo bar baz\b",
+    re.I,
+)
+#: Longest passage that is looked at as a few words said over and over.
+REPEATED_CHARS = 400
+
+
+def _repeated(part: str) -> bool:
+    """Whether a passage is one word five times or more, or two or three words three times or more, and nothing else."""
+    if len(part) > REPEATED_CHARS:
+        return False
+    words = part.lower().replace(",", " ").rstrip(".!").split()
+    return any(len(words) >= max(3 * k, 5) and words[k:] == words[:-k] and len(set(words)) == k and all(map(str.isalpha, words[:k])) for k in (1, 2, 3))
 
 
 def _marked(part: str) -> bool:
-    """Whether one of the phrases occurs."""
-    if _BEGINNINGS.match(part):
+    """Whether one of the phrases occurs, under a title or without one."""
+    said = _TITLED.match(part)
+    if said and _BEGINNINGS.match(part, said.end()):
         return True
-    if _LATIN.search(part):
+    if _BEGINNINGS.match(part) or _LATIN.search(part) or _NOTICE.search(part) or _FAILED.search(part) or _FILLER.search(part) or _repeated(part):
         return True
-    return next(_FIND.iter(part.lower()), None) is not None or (_MIDDLE_HINT.search(part) is not None and _MIDDLES.search(part) is not None)
-
-
-_MIDDLE_HINT = re.compile(r"page|script|private|placeholder|link|shown|expired|lorem|Blindtext|página|Seite|попробуйте|ページ|スクリプト|javascript|rewritten|exécution|deleted", re.I)
+    if said and _STATUS.match(part[: said.end()].rstrip(" .:|–-")):
+        return True
+    return next(_FIND.iter(part.lower()), None) is not None or _MIDDLES.search(part) is not None
 
 
-def weak_labels(parts: list[str]) -> list[bool]:
-    """Which passages of a text the rules mark."""
+def weak_labels(parts: list[str]) -> list[bool | None]:
+    """Which passages of a text the rules mark; None for those that stand in a short text with a status line, of which the
+    rules can't say what they are."""
     plain = [p.strip(" \t" + _HEADED + "#=*_-") for p in parts]
     status = [bool(_STATUS.match(p)) for p in plain]
-    if any(status) and len(parts) <= 8:
-        return [True] * len(parts)
-    return [s or _marked(p) or bool(_ANY_SLOT.search(p)) for s, p in zip(status, plain)]
+    marks = [s or _marked(p) or bool(_ANY_SLOT.search(p)) for s, p in zip(status, plain)]
+    if any(status) and len(parts) <= SHORT_PAGE:
+        return [m or None for m in marks]
+    return marks
 
 
 # -- features and classifier -------------------------------------------------------------------------------------------
@@ -298,11 +352,13 @@ def _dense(parts: list[str], place: np.ndarray, size: np.ndarray, p: np.ndarray,
     yield n, _LEN_AT + np.digitize(lengths, (4, 15, 40, 90, 200))
     yield n, _PLACE_AT + np.minimum(place, 2)
     yield n, _SIZE_AT + np.digitize(size, (2, 5, 12))
-    at = np.flatnonzero((p >= 0xE000) & (p < _SLOT0 + len(_SLOTS)))
+    at = np.flatnonzero((p >= 0xE000) & (p < _SLOT0 + _KINDS))
     if len(at):
         who, kind = np.searchsorted(starts, at, "right") - 1, p[at].astype(np.int64)
         slot = kind >= _SLOT0
         yield who[slot], _SLOT_AT + kind[slot] - _SLOT0
+        hit = np.unique(who[slot])
+        yield hit, np.full(len(hit), _MASK_AT + 3)
         for mark, feature in ((_HEADED, _HEAD_AT), (_CODE, _MASK_AT), (_SAID, _MASK_AT + 1), (_LINKED, _MASK_AT + 2)):
             hit = np.unique(who[kind == ord(mark)])
             yield hit, np.full(len(hit), feature)
@@ -334,11 +390,15 @@ class Classifier:
         return out
 
 
-def fit(parts: list[str], place: np.ndarray, size: np.ndarray, labels: np.ndarray, held: np.ndarray, counts: np.ndarray) -> Classifier:
-    """Logistic regression with an L2 penalty, classes weighted alike in total up to a factor; threshold from ``held``.
+def fit(parts: list[str], place: np.ndarray, size: np.ndarray, labels: np.ndarray, fold: np.ndarray, counts: np.ndarray) -> Classifier:
+    """Logistic regression with an L2 penalty, classes weighted alike in total up to a factor.
 
-    Deterministic. The threshold found, the weights are fitted again with all hosts. Without any marked passage it marks nothing,
-    without any sound one what the rules mark.
+    Rules miss cases, so passages without a mark aren't all sound. Every passage is scored by a fit without its ``fold``
+    (its hosts); those without a mark that score like the upper marked ones (``DOUBT``) are doubtful and left out. A
+    second round without them gives the scores from which the lowest threshold is taken whose F1 is near the best (``NEAR_BEST``), not below ``LEAST``, and
+    the last fit is made in the same way over all folds. Where the marked passages stand in too few folds, passages are
+    dealt to the folds one by one. Deterministic. Without any marked passage it marks nothing, without any sound one what
+    the rules mark.
     """
     if not len(parts) or not labels.any():
         return Classifier(np.zeros(WIDTH, np.float32), -1.0)
@@ -353,9 +413,11 @@ def fit(parts: list[str], place: np.ndarray, size: np.ndarray, labels: np.ndarra
     for at, bucket in _hashes(p, starts):
         who = owner[at]
         n += np.bincount(who, minlength=len(parts))
-        used = np.zeros(BUCKETS, bool)
-        used[bucket[labels[who]]] = True  # n-grams of no marked passage could only speak against, as the bias does
-        kept = used[bucket]
+        seen = np.bincount(bucket, weights=counts[who], minlength=BUCKETS)
+        marked = np.zeros(BUCKETS, bool)
+        marked[bucket[labels[who]]] = True
+        # n-grams of no marked passage could only speak against, as the bias does; those seen once tell nothing of others
+        kept = (marked & (seen > 1))[bucket]
         rows.append(who[kept])
         cols.append(bucket[kept])
     n = np.maximum(n, 1)
@@ -364,37 +426,65 @@ def fit(parts: list[str], place: np.ndarray, size: np.ndarray, labels: np.ndarra
         rows.append(i.astype(np.int32))
         cols.append(f.astype(np.int32))
         values.append(np.ones(len(i), np.float32))
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    w, b = _descend(row, col, value, labels, counts, ~held)
-    test = held if (held & labels).any() else np.ones(len(parts), bool)
-    z = (np.bincount(row, weights=w[col] * value, minlength=len(parts)) + b)[test]
-    truth, mass = labels[test], counts[test]
-    best = (-1.0, 0.0, 0.0, 0.0)
+    matrix = _sorted(np.concatenate(rows), np.concatenate(cols), np.concatenate(values).astype(np.float64))
+    row, col, value = matrix[0]
+    fold = fold.astype(np.int64)
+    if len(np.unique(fold[labels])) < 2 or len(np.unique(fold[~labels])) < 2:
+        fold = np.arange(len(parts)) % FOLDS
+    used = np.ones(len(parts), bool)
+
+    so_far: dict[int, tuple[np.ndarray, float]] = {}
+
+    def unseen(epochs: int) -> np.ndarray:
+        z = np.zeros(len(parts))
+        for f in np.unique(fold).tolist():
+            w, b = so_far[f] = _descend(matrix, labels, counts, used & (fold != f), epochs, *so_far.get(f, (None, 0.0)))
+            at = fold[row] == f
+            z += np.bincount(row[at], weights=w[col[at]] * value[at], minlength=len(parts)) + np.where(fold == f, b, 0.0)
+        return z
+
+    z = unseen(FOLD_EPOCHS)
+    used = labels | (z < np.quantile(z[labels], DOUBT))
+    z = unseen(MORE_EPOCHS)
+    tried = []
     for t in np.linspace(LEAST, 4.0, 36):
-        hit = z >= t
-        tp = mass[hit & truth].sum()
-        precision, recall = tp / max(1, mass[hit].sum()), tp / max(1, mass[truth].sum())
-        value_of = 5 * precision * recall / max(1e-9, 4 * precision + recall)  # labels are incomplete, so recall counts more
-        if value_of > best[0]:
-            best = (value_of, float(t), precision, recall)
-    w, b = _descend(row, col, value, labels, counts, np.ones(len(parts), bool))
+        hit = used & (z >= t)
+        tp = counts[hit & labels].sum()
+        precision, recall = tp / max(1, counts[hit].sum()), tp / max(1, counts[labels].sum())
+        tried.append((2 * precision * recall / max(1e-9, precision + recall), float(t), precision, recall))
+    best = next(x for x in tried if x[0] >= max(tried)[0] - NEAR_BEST)  # what the rules miss counts against a low one
+    w, b = _descend(matrix, labels, counts, used, EPOCHS)
     return Classifier(w.astype(np.float32), float(b), *best[1:])
 
 
-def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, labels: np.ndarray, counts: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias from the passages in ``train``, by scaled gradient steps over all of them at once."""
-    keep = train[row]
-    r, c, v = row[keep], col[keep], value[keep]
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sorted(row: np.ndarray, col: np.ndarray, value: np.ndarray) -> tuple[Entries, Entries]:
+    """The entries of a sparse matrix by row and by column."""
+    by_row, by_col = np.argsort(row, kind="stable"), np.argsort(col, kind="stable")
+    return (row[by_row], col[by_row], value[by_row]), (row[by_col], col[by_col], value[by_col])
+
+
+def _descend(matrix: tuple[Entries, Entries], labels: np.ndarray, counts: np.ndarray, train: np.ndarray, epochs: int, w: np.ndarray | None = None, b: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias from the passages in ``train``, by scaled gradient steps over all of them at once, on from ``w``, ``b``."""
+    (r, c, v), (r_of, c_of, v_of) = (tuple(x[train[e[0]]] for x in e) for e in matrix)
+    rows, at_row = np.unique(r, return_index=True)
+    cols, at_col = np.unique(c_of, return_index=True)
     y = labels.astype(np.float64)
     n_pos, n_neg = max(1, int((labels & train).sum())), max(1, int((~labels & train).sum()))
     weight = np.where(labels, min(20.0, n_neg / n_pos), 1.0) * np.sqrt(counts) * train
-    weight /= weight.sum()
-    w, b = np.zeros(WIDTH), 0.0
+    weight /= max(weight.sum(), 1e-12)
+    w = np.zeros(WIDTH) if w is None else w.copy()
     squares, b_square = np.full(WIDTH, 1e-8), 1e-8
-    for _ in range(EPOCHS):
-        z = np.bincount(r, weights=w[c] * v, minlength=len(labels)) + b
+    for _ in range(epochs):
+        z = np.full(len(labels), b)
+        if len(rows):
+            z[rows] += np.add.reduceat(w[c] * v, at_row)
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(c, weights=slope[r] * v, minlength=WIDTH) + RIDGE * w
+        grad = RIDGE * w
+        if len(cols):
+            grad[cols] += np.add.reduceat(slope[r_of] * v_of, at_col)
         squares = 0.9 * squares + 0.1 * grad * grad
         w -= 0.1 * grad / (np.sqrt(squares) + 1e-6)
         g = slope.sum()
@@ -427,6 +517,8 @@ def _draw(every: int):
                 labels = weak_labels(parts)
                 size = len(parts)
                 for k, (part, label) in enumerate(zip(parts, labels)):
+                    if label is None:
+                        continue
                     if label or len(part) <= MENU_CHARS or _NEAR.search(part) or (len(text) + 31 * k + 7 * len(part)) % every == 0:
                         out.append((host, _DIGITS.sub("0", part), k, size, label))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_DRAWN)], schema=_DRAWN)
@@ -437,22 +529,21 @@ def _draw(every: int):
 def train(documents: DataFrame, bound: int = LABELLED_DOCUMENTS, unlabelled: int = UNLABELLED_PASSAGES) -> Classifier:
     """Fits the classifier on passages of at most about ``bound`` documents, drawn by the hash of their text.
 
-    Marked passages are at most two thirds of the sample, so that sound ones remain however much is marked; each are drawn
-    by their hash. A fifth of the hosts, by the hash of their name, is held out. A passage weighs as the root of its
-    occurrences, and is marked if all of them are.
+    Of these passages at most ``2 * unlabelled`` marked ones and as many others are taken, each by the order of their
+    hash, so that neither kind crowds out the other. Hosts are dealt into ``FOLDS`` parts by the hash of their name. A
+    passage weighs as the root of its occurrences, and is marked if all of them are.
     """
     n = documents.count()
     share = min(1.0, bound / max(1, n))
-    drawn = documents.filter("text is not null and trim(text) <> ''").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = documents.filter("text is not null and trim(text) <> ''").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
     every = max(1, int(n * share * 12 / unlabelled))
     told = spread(drawn.select(F.coalesce("project", F.lit("none")).alias("host"), "text")).mapInArrow(_draw(every), "host string, passage string, place int, size int, label boolean")
     told = told.groupBy("passage").agg(F.min("host").alias("host"), F.min("place").alias("place"), F.min("size").alias("size"), F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
-    told = cut_lineage(told.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(5)) == 0))
-    n_marked = min(told.filter("label").count(), 2 * unlabelled)
-    some = lambda which, most: told.filter(which).orderBy(F.xxhash64("passage"), "passage").limit(most)
-    got = some("label", n_marked).unionByName(some("not label", 3 * unlabelled - n_marked)).toArrow()
-    col = {c: got.column(c).to_numpy(zero_copy_only=False) for c in ("place", "size", "label", "held", "n")}
-    return fit(got.column("passage").to_pylist(), col["place"].astype(np.int64), col["size"].astype(np.int64), col["label"].astype(bool), col["held"].astype(bool), col["n"].astype(np.float64))
+    told = cut_lineage(told.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))))
+    some = lambda which: told.filter(which).orderBy(F.xxhash64("passage"), "passage").limit(2 * unlabelled)
+    got = some("label").unionByName(some("not label")).toArrow()
+    col = {c: got.column(c).to_numpy(zero_copy_only=False) for c in ("place", "size", "label", "fold", "n")}
+    return fit(got.column("passage").to_pylist(), col["place"].astype(np.int64), col["size"].astype(np.int64), col["label"].astype(bool), col["fold"], col["n"].astype(np.float64))
 
 
 def best_passages(texts: list[str | None], model: Classifier) -> list[tuple[float, str] | None]:

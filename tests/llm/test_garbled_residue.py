@@ -159,3 +159,42 @@ def test_garbled_runs_inside_foreign_text(spark):
     rows += [(i, "p1/b.md", t, False, False) for i, (t, _) in bad.items()]
     df = spark.createDataFrame(rows, "file_id long, path string, content string, truncated boolean, lossy_conversion boolean").repartition(3)
     assert {r.file_id: r.restored for r in garbled.restore(df).collect()} == {i: t for i, (_, t) in bad.items()}
+
+
+def test_rules_between_sections_and_what_servers_send():
+    slots = lambda t: sum(len(residue._ANY_SLOT.findall(p)) for p in residue.passages(t))
+    assert slots("________\n\nEnd of the first half; the reader treats it as a plain line.\n\n  _ _ _\n") == 0
+    assert slots("Owner: ________") == 1 and slots("- ________\n- ________") == 2
+    assert slots('Intro.\n\n{"error": {"code": 504, "message": "upstream timeout"}}\n\nEnd.') == 1
+    assert slots('```\n{"error": {"code": 504}}\n```\n\n{"level": "info", "error": null}\n') == 0
+    trace = 'Traceback (most recent call last):\n  File "/srv/a.py", line 7, in render\nKeyError: \'page\'\n'
+    assert slots(trace) == 1 and slots(f"```\n{trace}```\n") == 0
+
+
+def test_messages_under_titles_and_filler():
+    for text in (
+        "Sorry You are not allowed to see this archive.",
+        "404 Not Found The entry failed to render because of a missing attribute.",
+        "UNAUTHORIZED THE LINK TO THIS ARCHIVE HAS EXPIRED.",
+        "This viewer needs a browser with script support turned on.",
+        "Sample quote sample quote sample quote.",
+        "blah blah blah blah blah",
+        "Mock footer for the page template.",
+    ):
+        assert all(residue.weak_labels(residue.passages(text))), text
+    for text in ("Our pages are readable with scripting switched off; readers asked for this.", "The parser for JavaScript is enabled with `--js`; no script is ever executed.", "No, no, no.", "Forbidden city tours start at noon."):
+        assert not any(residue.weak_labels(residue.passages(text))), text
+    assert residue.weak_labels(["404 Not Found", "Files Issues Wiki"]) == [True, None]  # a neighbour says nothing
+
+
+def test_unseen_hosts(spark):
+    sound = ["The reader keeps line {} of the notes.", "If the mirror answers {} Not Found, the reader retries.", "Pages are readable with scripting switched off in {} of them.", "Q: why does page {} show an error page?"]
+    bad = ["Please enable JavaScript to open view {}.", "The page you requested was not found, reference {}.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit {}.", "Dear {{{{ name }}}}, you are number {}."]
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i * 7919))
+    rows = [(i, (bad if i % 10 == 0 else sound)[i // 10 % 4].format(word(i)), f"h{i * 7 // 10 % 41}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, project string").repartition(4)  # tables of the two kinds of hosts
+    seen, unseen = df.filter("cast(substr(project, 2) as int) % 4 < 3"), df.filter("cast(substr(project, 2) as int) % 4 = 3")
+    model = residue.train(seen)
+    assert model.precision >= 0.9 and model.recall >= 0.9
+    got = {r.doc_id for r in residue.residue(unseen, model).collect()}
+    assert got == {i for i, _, h in rows if i % 10 == 0 and int(h[1:]) % 4 == 3}
