@@ -42,12 +42,16 @@ GROUPS = 8
 #: Encodings that text is read in or written in by mistake.
 SINGLE_READERS = ("cp1252", "latin_1", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "mac_roman", "iso8859_7", "cp1253", "cp1250", "iso8859_2", "iso8859_5", "mac_cyrillic", "cp1254", "iso8859_15", "cp1255", "cp1256")
 DOUBLE_READERS = ("gbk", "cp932", "cp949", "big5", "euc_jp")
+WIDE_READERS = ("utf_16_le", "utf_16_be")
 CYRILLIC, WESTERN = ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5"), ("cp1252", "cp850", "cp437", "mac_roman")
 READERS_OF = {
     **{w: ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", *CYRILLIC, *DOUBLE_READERS) for w in CYRILLIC},
     **{w: ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp866", "cp1251", "koi8_r", "iso8859_7", "cp1253", "cp1250", "iso8859_2", "iso8859_5", *DOUBLE_READERS) for w in WESTERN},
     **{w: ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", *DOUBLE_READERS) for w in DOUBLE_READERS},
-    **{w: ("cp1252", "latin_1", "cp437", "cp850", "cp1251") for w in ("cp1250", "iso8859_2", "iso8859_7")},
+    "iso8859_7": ("cp1252", "latin_1", "cp437", "cp850", "cp1251"),
+    "cp1250": ("cp1252", "latin_1", "cp437", "cp850", "cp1251", "iso8859_2"),
+    "iso8859_2": ("cp1252", "latin_1", "cp437", "cp850", "cp1251", "cp1250"),
+    "cp852": ("cp1252", "latin_1", "cp437", "cp850", "cp1250", "iso8859_2"),
 }
 #: Pairs that agree on nearly all letters, so that one read as the other is no damage to speak of.
 ALIKE = {frozenset(p) for p in (("latin_1", "iso8859_15"), ("iso8859_7", "cp1253"))}
@@ -58,6 +62,7 @@ _MIXED = re.compile(r"[A-Za-z\xc0-\u024f][\u0370-\u052f\u0590-\u06ff]|[\u0370-\u
 _LATIN = re.compile(r"[\x20-\x7e\xa0-\u024f\u2010-\u2026]*")
 _C1 = re.compile("[\x80-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_TYPED = "‘’‚“”„–—…•"
 _SPACES = re.compile(r"[^ \t\r\n\f\v]+")
 _UTF7 = re.compile(r"\+[A-Za-z0-9+/]{2,}-")
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});")
@@ -70,7 +75,7 @@ _TREE = re.compile(r"^[ \t?]*\?{2,}[ \t]+[\w.]+", re.M)
 
 def _encoder(name: str):
     """Strict encoding; a byte that the code page leaves undefined stands for the control sign of that number."""
-    if name in DOUBLE_READERS:
+    if name in DOUBLE_READERS or name in WIDE_READERS:
         return lambda s: s.encode(name)
     table = {}
     for b in range(256):
@@ -82,13 +87,14 @@ def _encoder(name: str):
     return lambda s: codecs.charmap_encode(s, "strict", table)[0]
 
 
-_ENCODERS = {r: _encoder(r) for r in (*SINGLE_READERS, *DOUBLE_READERS)}
+_ENCODERS = {r: _encoder(r) for r in (*SINGLE_READERS, *DOUBLE_READERS, *WIDE_READERS)}
 #: Bytes as written in UTF-8 hold their own proof, as few other byte strings decode in it; others are tried on odd text only.
 CHAINS_UTF8 = tuple((r, "utf_8") for r in _ENCODERS)
 CHAINS_OTHER = tuple((r, w) for w, rs in READERS_OF.items() for r in rs if r != w and frozenset((r, w)) not in ALIKE)
 CHAINS = (*CHAINS_UTF8, *CHAINS_OTHER, ("ascii", "utf_7"))
 _BY_READER = {r: [(k, w) for k, (q, w) in enumerate(CHAINS[:-1]) if q == r] for r in _ENCODERS}
 _N8, _UTF7_CHAIN = len(CHAINS_UTF8), len(CHAINS) - 1
+_WIDE = {k for k, (r, _) in enumerate(CHAINS_UTF8) if r in WIDE_READERS}
 
 
 def _utf8_runs(reader: str) -> re.Pattern:
@@ -104,7 +110,14 @@ def _utf8_runs(reader: str) -> re.Pattern:
     return re.compile(f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{{2}}|{of(0xF0, 0xF4)}{more}{{3}})+")
 
 
-_UTF8_RUNS = {r: _utf8_runs(r) for r in SINGLE_READERS}
+#: Least bytes that two bytes a sign must have hidden to be told from ideographs.
+WIDE_BYTES = 8
+#: Log odds that each such sign gives, whatever the counts say, as such text is common where it occurs at all; least mean
+#: log probability of what it was.
+WIDE_GAIN, SOUND_ASCII = 1.1, -4.2
+#: By chain. Signs of two ASCII bytes, in a row that ideographs hardly ever form.
+_UTF8_RUNS = {k: _utf8_runs(r) for k, r in enumerate(SINGLE_READERS)}
+_UTF8_RUNS |= {k: re.compile("[" + "".join(f"{chr(h << 8 | 0x20)}-{chr(h << 8 | 0x7E)}{chr(h << 8 | 10)}" for h in (10, *range(0x20, 0x7F))) + "]{6,}") for k in _WIDE}
 #: Runs of one script; signs that belong to none stand with the Latin ones, as wrong readings hold them.
 _SCRIPT = re.compile(r"[\u0370-\u03ff]+|[\u0400-\u052f]+|[\u0530-\u08ff]+|[\u0900-\u1dff]+|[\u2e80-\ud7af\uf900-\ufaff\ufe30-\uffef]+|[\U00020000-\U0003ffff]+|[\x80-\u036f\u1e00-\u2e7f\ud7b0-\uf8ff\ufb00-\ufe2f\ufff0-\U0001ffff]+")
 
@@ -267,6 +280,8 @@ class Finder:
                 except (UnicodeError, ValueError):
                     continue
                 if text != word and not (k >= _N8 and any(c < " " or "\x7f" <= c < "\xa0" for c in text)):
+                    if k in _WIDE and (len(raw) < WIDE_BYTES or any(c < " " and c not in "\t\n\r" for c in text)):
+                        continue
                     made[k] = text
         if not made:
             return {}
@@ -284,11 +299,15 @@ class Finder:
                     if deeper:
                         more, text = max(deeper)
                         gain, mean = gain + more, 0.0
-                if mean <= SOUND:  # a rare word of a Latin alphabet may still be what it was
+                if k in _WIDE and mean > SOUND_ASCII:  # of three ideographs at most one is of two ASCII bytes, in a row each speaks
+                    gain = max(gain, foreign * WIDE_GAIN)
+                elif mean <= SOUND:  # a rare word of a Latin alphabet may still be what it was
                     gain = min(gain, 4.5 if CHAINS[k][0] in SINGLE_READERS and _LATIN.fullmatch(text) else 0.0)
             else:
                 letters = sum(c.isalpha() for c in text if c > "\x7f")
-                if gain > 0 and (mean <= SOUND or _MIXED.search(text) or any(map(_compat, text)) or (foreign > 1 and letters < 2) or 3 * letters < 2 * sum(c > "\x7f" for c in text) or (foreign == 1 and len(word) < 3)):
+                if gain > 0 and not letters and all(c in _TYPED for c in text if c > "\x7f") and self._common(text):
+                    pass  # marks that are usual in this place
+                elif gain > 0 and (mean <= SOUND or _MIXED.search(text) or any(map(_compat, text)) or (foreign > 1 and letters < 2) or 3 * letters < 2 * sum(c > "\x7f" for c in text) or (foreign == 1 and len(word) < 3)):
                     gain = 0.0
                 elif controls:
                     gain += controls
@@ -331,7 +350,7 @@ class Finder:
             if plain != word and not plain.isascii() and all(c.isalpha() or c in "–—’“”" for c in plain if c > "\x7f") and self._scores([plain])[1][0] > SOUND:
                 got = {_UTF7_CHAIN: (6.0, plain)}
         if not word.isascii() and max((g for g, _ in got.values()), default=0.0) < LEAST_SEED:
-            for k, reader in enumerate(SINGLE_READERS):  # the first chains are theirs
+            for k, utf8 in _UTF8_RUNS.items():
                 gains: list[float] = []
 
                 def undone(m: re.Match) -> str:
@@ -339,8 +358,8 @@ class Finder:
                     gains.append(g)
                     return text if g >= LEAST_PROOF else m.group()
 
-                whole = _UTF8_RUNS[reader].sub(undone, word)
-                if whole != word and self._better(word, whole) and (g := min(MOST_GAIN, sum(x for x in gains if x >= LEAST_PROOF))) > got.get(k, (0.0,))[0]:
+                whole = utf8.sub(undone, word)
+                if whole != word and (k in _WIDE or self._better(word, whole)) and (g := min(MOST_GAIN, sum(x for x in gains if x >= LEAST_PROOF))) > got.get(k, (0.0,))[0]:
                     got[k] = (g, whole)
             runs = set(_RUN.findall(word))
             calm = self._calm(word)
