@@ -32,8 +32,12 @@ PAIR_BUCKETS = 1 << 20
 #: a weight below which the rounds end.
 ROUNDS, MODEL_ROUNDS, SETTLED = 6, 2, 1e-5
 #: Mean log probability of sound text; least log odds of a stretch that starts a search in its neighbours, of one whose
-#: bytes decode as UTF-8, and most that one stretch gives; log odds against any one chain to start from, which rounds only ease.
-SOUND, LEAST_SEED, LEAST_PROOF, MOST_GAIN, SWITCH = -5.2, 4.0, 2.0, 16.0, 4.5
+#: bytes decode as UTF-8, and most that one stretch gives; log odds against any one chain to start from, and most that they grow to in the rounds.
+SOUND, LEAST_SEED, LEAST_PROOF, MOST_GAIN, SWITCH, MOST_AGAINST = -5.2, 4.0, 2.0, 16.0, 4.5, 6.0
+#: Posterior from which a record counts as affected.
+DECIDED = 0.7
+#: Mean count of the pairs of a stretch that counts as common.
+OFTEN = 5.0
 #: Records that a source's weights are shrunk towards all sources by.
 SHRINK = 20.0
 #: Groups that sources are hashed into; a stretch that stands mostly in its own group is also judged by the counts of the rest.
@@ -220,7 +224,7 @@ class Finder:
         touched = (p[1:] > 127) | (p[:-1] > 127)
         if not touched.any():
             touched[:] = True
-        return bool(self.model.each(p)[touched].mean() > -3.5 and np.log(self.model.pairs[self.model.bucket(p[:-1], p[1:])[touched]] + 0.1).mean() > 0)
+        return bool(self.model.each(p)[touched].mean() > -3.5 and np.log(self.model.pairs[self.model.bucket(p[:-1], p[1:])[touched]] + 0.1).mean() > np.log(OFTEN))
 
     def word_of(self, word: str, group: int | None) -> dict[int, tuple[float, str]]:
         """``word``, with what the counts of the other groups say of a stretch that stands mostly in its own, where those of
@@ -305,7 +309,7 @@ class Finder:
                     gain = min(gain, 4.5 if CHAINS[k][0] in SINGLE_READERS and _LATIN.fullmatch(text) else 0.0)
             else:
                 letters = sum(c.isalpha() for c in text if c > "\x7f")
-                if gain > 0 and not letters and all(c in _TYPED for c in text if c > "\x7f") and self._common(text):
+                if gain > 0 and not letters and len(text) == len(word) and all(c in _TYPED for c in text if c > "\x7f") and self._common(text):
                     pass  # marks that are usual in this place
                 elif gain > 0 and (mean <= SOUND or _MIXED.search(text) or any(map(_compat, text)) or (foreign > 1 and letters < 2) or 3 * letters < 2 * sum(c > "\x7f" for c in text) or (foreign == 1 and len(word) < 3)):
                     gain = 0.0
@@ -399,8 +403,10 @@ class Finder:
     def text(self, text: str, truncated: bool | None, group: int | None = None) -> dict[int, float]:
         """Log odds of each chain over a whole text; -1 stands for signs that are lost.
 
-        A chain's odds are those of its best unbroken run of stretches, in which those that it would spoil count
-        against it; that its bytes decode as UTF-8 counts too; stretches given as examples, in quotes, count nothing.
+        A chain that one stretch speaks for clearly is taken up, with all that others say, however weak; without that, rows
+        that are alike would take each other for garbled. Its odds are those of its best unbroken run of stretches, in
+        which those that it would spoil count against it; that its bytes decode as UTF-8 counts too; stretches given as
+        examples, in quotes, count nothing, and those said before only what they say clearly.
         """
         sums: dict[int, float] = {}
         if n := _is_lost(text, truncated):
@@ -414,7 +420,7 @@ class Finder:
                 sums[-1] = sums.get(-1, 0.0) + 2.5 * n
         if not _WORTH.search(text):
             return sums
-        row, seeds = [], set()
+        row, seeds, before = [], set(), set()
         for line in text.split("\n"):
             if not line.isascii() or "&" in line or "+A" in line:
                 for word in _SPACES.findall(line):
@@ -423,6 +429,9 @@ class Finder:
                     got = self.word_of(word, group)
                     if got and _QUOTED.match(word):
                         got = {}
+                    if word in before:  # says nothing new where it says little
+                        got = {k: x if x[0] >= LEAST_SEED else (min(x[0], 0.0), x[1]) for k, x in got.items()}
+                    before.add(word)
                     row.append(got)
                     if got:
                         seeds.update(k for k, (g, _) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else LEAST_SEED))
@@ -577,11 +586,11 @@ def _evidence(files: DataFrame, finder_of) -> DataFrame:
             pa.list_(pa.struct([("k", pa.int32()), ("gain", pa.float64())])),
         )
 
-    return files.select(F.monotonically_increasing_id().alias("row"), "file_id", source_of(F.col("path")).alias("source"), F.coalesce("lossy_conversion", F.lit(False)).alias("flag"), gains("content", "truncated", "part").alias("chains"))
+    return files.select(F.monotonically_increasing_id().alias("row"), "file_id", F.xxhash64("content").alias("text_hash"), source_of(F.col("path")).alias("source"), F.coalesce("lossy_conversion", F.lit(False)).alias("flag"), gains("content", "truncated", "part").alias("chains"))
 
 
 def _estimate(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Posteriors of all records with evidence: ``row, file_id, k, share``, a row for each chain of a record.
+    """Posteriors of all records with evidence: ``row, file_id, text_hash, k, share``, a row for each chain of a record.
 
     Expectation: a record's share of chain k is its odds against no chain and the other chains, from its own evidence,
     the weight of k in its source and what its flag says. Maximisation: weights are the mean shares, by source shrunk
@@ -590,23 +599,23 @@ def _estimate(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     totals = found.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).collect()
     n_all = sum(r.n for r in totals) or 1
     n_flag = sum(r.n for r in totals if r.flag)
-    least = float(np.exp(-SWITCH))
+    first, least = float(np.exp(-SWITCH)), float(np.exp(-MOST_AGAINST))
     sizes = found.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("s_rows"))
-    seen = found.filter(F.size("chains") > 0).select("row", "file_id", "source", "flag", F.inline("chains"))
+    seen = found.filter(F.size("chains") > 0).select("row", "file_id", "text_hash", "source", "flag", F.inline("chains"))
     seen = cut_lineage(seen.join(sizes, "source"))
     weights: dict[int, float] = {}
     flag_odds, by_source, out = (0.0, 0.0), None, None
     for _ in range(rounds):
         known = F.element_at(F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))]), F.col("k")) if weights else F.lit(None).cast("double")
-        start = F.greatest(F.coalesce(known, F.lit(least)), F.lit(least))
+        start = F.greatest(F.coalesce(known, F.lit(least)), F.lit(least)) if weights else F.lit(first)
         scored = seen if by_source is None else seen.join(by_source, ["source", "k"], "left")
         in_source = F.lit(0.0) if by_source is None else F.coalesce("s_weight", F.lit(0.0))
         prior = F.greatest((in_source + SHRINK * start) / (F.col("s_rows") + SHRINK), F.lit(least))
         flag = F.when(F.col("flag"), F.lit(flag_odds[0])).otherwise(F.lit(flag_odds[1]))
         odds = F.exp(F.least(F.col("gain") + F.log(prior) + flag, F.lit(60.0)))
-        scored = scored.select("row", "file_id", "source", "s_rows", "flag", "k", "gain", odds.alias("odds"))
+        scored = scored.select("row", "file_id", "text_hash", "source", "s_rows", "flag", "k", "gain", odds.alias("odds"))
         each = scored.groupBy("row").agg(F.sum("odds").alias("all_odds"))
-        out = cut_lineage(scored.join(each, "row").select("row", "file_id", "source", "flag", "k", (F.col("odds") / (1 + F.col("all_odds"))).alias("share")))
+        out = cut_lineage(scored.join(each, "row").select("row", "file_id", "text_hash", "source", "flag", "k", (F.col("odds") / (1 + F.col("all_odds"))).alias("share")))
         sums = out.groupBy("k").agg(F.sum("share").alias("w"), F.sum(F.when(F.col("flag"), F.col("share")).otherwise(0.0)).alias("f")).collect()
         moved = max((abs(r.w / n_all - weights.get(r.k, 0.0)) for r in sums), default=0.0)
         weights = {r.k: r.w / n_all for r in sums}
@@ -631,9 +640,9 @@ def _judged(files: DataFrame, model_rounds: int):
     finder_of = _finder_of(spark, counts)
     found = cut_lineage(_evidence(told, finder_of))
     shares = _estimate(found)
-    best = shares.groupBy("row", "file_id").agg(F.sum("share").alias("posterior"), F.max_by("k", "share").alias("k"))
-    named = F.udf(chain_name, "string")
-    return best.filter("posterior > 0.5").select("file_id", named("k").alias("chain"), "posterior", "k"), finder_of
+    best = shares.groupBy("row", "file_id", "text_hash").agg(F.sum("share").alias("posterior"), F.max_by("k", "share").alias("k"))
+    names = F.create_map(*[F.lit(x) for k in range(-1, len(CHAINS)) for x in (k, chain_name(k))])
+    return best.filter(F.col("posterior") > DECIDED).select("file_id", names[F.col("k")].alias("chain"), "posterior", "k", "text_hash"), finder_of
 
 
 def garbled(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
@@ -643,22 +652,23 @@ def garbled(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
     set, a null or empty content is no case, rows with equal file_id or content are judged each. An empty table gives
     none. Contents are read whole.
     """
-    return _judged(files, model_rounds)[0]
+    return _judged(files, model_rounds)[0].select("file_id", "chain", "posterior")
 
 
 def restore(files: DataFrame, model_rounds: int = MODEL_ROUNDS) -> DataFrame:
     """``file_id, chain, posterior, restored``: the affected rows with their text as far as it can still be known.
 
-    Lost signs stay as they are. Of rows that share a file_id each is restored."""
-    told = files.filter("content <> ''").select("file_id", "content", part_of(F.col("path")).alias("part"))
+    Lost signs stay as they are. Of rows that share a file_id each is restored by its own chain."""
+    told = files.filter("content <> ''").select("file_id", "content", part_of(F.col("path")).alias("part"), F.xxhash64("content").alias("text_hash"))
     judged, finder_of = _judged(files, model_rounds)
-    found = judged.groupBy("file_id").agg(F.first("chain").alias("chain"), F.max("posterior").alias("posterior"), F.first("k").alias("k"))
+    best = F.struct("posterior", "chain", "k")
+    found = judged.groupBy("file_id", "text_hash").agg(F.max(best).alias("best")).select("file_id", "text_hash", "best.*")  # equal rows have one answer
 
     @F.arrow_udf("string")
     def repaired(content: pa.Array, k: pa.Array, part: pa.Array) -> pa.Array:
         finder = finder_of()
         return pa.array([finder.repair(t, c, g) for t, c, g in zip(content.to_pylist(), k.to_pylist(), part.to_pylist())], pa.string())
 
-    return found.join(told, "file_id").select("file_id", "chain", "posterior", repaired("content", "k", "part").alias("restored"))
+    return found.join(told, ["file_id", "text_hash"]).select("file_id", "chain", "posterior", repaired("content", "k", "part").alias("restored"))
 
 

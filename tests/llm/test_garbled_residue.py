@@ -198,3 +198,24 @@ def test_unseen_hosts(spark):
     assert model.precision >= 0.9 and model.recall >= 0.9
     got = {r.doc_id for r in residue.residue(unseen, model).collect()}
     assert got == {i for i, _, h in rows if i % 10 == 0 and int(h[1:]) % 4 == 3}
+
+
+def test_wide_and_central_european_readings(spark):
+    sound = [FR, RU, DE, ZH, "Każdy blok został usunięty; początku części nie było.", "It’s the crew’s call, “later” — not now.", "数据模型说明文档如下所示", "Notes of the layout explain which lines the review took."]
+    rows = [(i, f"p{i % 7}/a.md", sound[i % len(sound)], False, False) for i in range(1400)]
+    told = {
+        6000: ("# Background\n\nLines 40 to 64 of it explain why.\n", "utf-8", "utf-16-le"),
+        6001: ("# Layout\n\nThe default was chosen after a review.", "utf-8", "utf-16-be"),
+        6002: ("Każdy blok został usunięty; początku części nie było.", "cp852", "cp1252"),
+        6003: ("It’s the crew’s call, “later” — not now.", "cp1252", "mac_roman"),
+    }
+    rows += [(i, "p1/b.md", t.encode(w).decode(r), False, False) for i, (t, w, r) in told.items()]
+    df = spark.createDataFrame(rows, "file_id long, path string, content string, truncated boolean, lossy_conversion boolean").repartition(3)
+    assert {r.file_id: r.restored for r in garbled.restore(df).collect()} == {i: t for i, (t, _, _) in told.items()}
+
+
+def test_rows_that_share_a_file(spark):
+    rows = [(i, "p/a.md", t, False, False) for i in range(400) for t in (FR, RU)]
+    rows += [(7, "p/a.md", FR.encode().decode("latin-1"), False, False), (7, "p/a.md", RU.encode("cp1251").decode("koi8_r"), False, False)]
+    df = spark.createDataFrame(rows, "file_id long, path string, content string, truncated boolean, lossy_conversion boolean").repartition(3)
+    assert sorted((r.file_id, r.restored) for r in garbled.restore(df).collect()) == sorted([(7, FR), (7, RU)])
