@@ -200,6 +200,7 @@ class Finder:
         self.runs: dict[str, dict[int, tuple[float, str]]] = {}
         self.proofs: dict[tuple[str, int | None], bool] = {}
         self.elsewhere: dict[tuple[str, int], dict[int, tuple[float, str]]] = {}
+        self.said: dict[tuple[str, int | None], tuple[dict[int, float], dict[int, float], frozenset[int]]] = {}
         self.rests: dict[int, Finder] = {}
 
     def _rest(self, group: int) -> Finder:
@@ -400,6 +401,20 @@ class Finder:
                 self.proofs[word, group] = got
         return got
 
+    def _said(self, word: str, group: int | None) -> tuple[dict[int, float], dict[int, float], frozenset[int]]:
+        """Log odds of the chains of a stretch where it comes first and where it comes again, and the chains it speaks
+        for clearly; nothing of what stands in quotes."""
+        got = self.said.get((word, group))
+        if got is None:
+            odds = {} if _QUOTED.match(word) else {k: g for k, (g, _) in self.word_of(word, group).items()}
+            clear = frozenset(k for k, g in odds.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else LEAST_SEED))
+            got = odds, {k: g if g >= LEAST_SEED else min(g, 0.0) for k, g in odds.items()}, clear
+            if len(word) <= 64:
+                if len(self.said) > 100_000:
+                    self.said.clear()
+                self.said[word, group] = got
+        return got
+
     def text(self, text: str, truncated: bool | None, group: int | None = None) -> dict[int, float]:
         """Log odds of each chain over a whole text; -1 stands for signs that are lost.
 
@@ -426,22 +441,19 @@ class Finder:
                 for word in _SPACES.findall(line):
                     if word.isascii() and "&" not in word and "+A" not in word:
                         continue
-                    got = self.word_of(word, group)
-                    if got and _QUOTED.match(word):
-                        got = {}
-                    if word in before:  # says nothing new where it says little
-                        got = {k: x if x[0] >= LEAST_SEED else (min(x[0], 0.0), x[1]) for k, x in got.items()}
+                    got, again, clear = self._said(word, group)
+                    row.append(again if word in before else got)  # says nothing new where it says little
                     before.add(word)
-                    row.append(got)
-                    if got:
-                        seeds.update(k for k, (g, _) in got.items() if g >= (LEAST_PROOF if k < _N8 or k == _UTF7_CHAIN else LEAST_SEED))
+                    seeds |= clear
         for k in seeds:
             proof = k < _N8 or k == _UTF7_CHAIN
             best = run = 0.0
             for got in row:
-                x = got.get(k)
-                run = max(0.0, run + (x[0] if x else 0.0 if proof else -0.5))
-                best = max(best, run)
+                run += got.get(k, 0.0 if proof else -0.5)
+                if run < 0.0:
+                    run = 0.0
+                elif run > best:
+                    best = run
             if best > 0:
                 sums[k] = best + (3.0 if proof else 0.0)
         return sums
