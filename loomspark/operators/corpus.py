@@ -93,17 +93,18 @@ def extract(files: DataFrame, start: int, end: int, max_bytes: int = EXTRACT_BYT
 
 
 def bounded_read(
-    files: DataFrame, raw: str = "raw", size_strategy: str = "truncate", encoding_strategy: str = "lossy", max_size: int = MAX_FILE_SIZE, truncate_size: int = TRUNCATE_SIZE
+    files: DataFrame, raw: str = "raw", size_strategy: str = "truncate", encoding_strategy: str = "lossy", max_size: int = MAX_FILE_SIZE, truncate_size: int = TRUNCATE_SIZE, disk_size: str | None = None
 ) -> DataFrame:
     """Adds ``content, truncated, lossy, skipped, skip_reason, warnings`` to files with a binary column.
 
     Size: ``skip`` leaves out files above ``max_size``; ``truncate`` cuts at a character within ``truncate_size`` bytes;
     ``full`` reads up to ``max_size`` and leaves out larger ones. Bytes with a NUL near the start are binary and left out
     unless the encoding strategy is ``lossy`` or ``binary``; invalid UTF-8 is left out under ``skip``, else replaced.
-    A null column is a file that can't be read: skipped.
+    A null column is a file that can't be read: skipped. ``disk_size`` names a column with the size on disk, of which
+    the bytes may be the beginning only; a file that isn't to be cut but didn't come whole is skipped and says so.
     """
     b = F.col(raw)
-    size = F.octet_length(b)
+    size = F.greatest(F.octet_length(b), F.coalesce(F.col(disk_size), F.lit(0))) if disk_size else F.octet_length(b)
     is_binary = F.position(F.lit(b"\x00"), F.substring(b, 1, SNIFF_BYTES)) > 0
     too_large = size > max_size if size_strategy in ("skip", "full") else F.lit(False)
     cut = (size > truncate_size) if size_strategy == "truncate" else F.lit(False)
@@ -112,6 +113,8 @@ def bounded_read(
     text = F.make_valid_utf8(whole)
     text = F.when(cut, utf8_cut(text, truncate_size)).otherwise(text)
     reason = F.when(b.isNull(), F.lit("unreadable")).when(too_large, F.lit("too large"))
+    if size_strategy != "truncate":
+        reason = reason.when(F.octet_length(b) < size, F.lit("not read whole"))
     if encoding_strategy == "skip":
         reason = reason.when(is_binary, F.lit("binary")).when(~valid, F.lit("invalid encoding"))
     marks = F.filter(F.array(F.when(cut, F.lit("FILE_TRUNCATED")), F.when(~valid, F.lit("LOSSY_CONVERSION"))), lambda x: x.isNotNull())

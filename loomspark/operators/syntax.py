@@ -30,21 +30,21 @@ def _group_end(toks: list[tuple[str, int, int]], i: int) -> int:
     return len(toks)
 
 
-def find_matches(code: str, pattern: str, limit_tokens: int = 2000) -> list[tuple[int, int]]:
-    """(start, end) of the places where the pattern's tokens occur in order; matches don't overlap."""
+def find_matches(code: str, pattern: str) -> list[tuple[int, int]]:
+    """(start, end) of the places where the pattern's tokens occur in order; matches don't overlap and may be of any length."""
     toks, pat = tokens(code), [t for t, _, _ in tokens(pattern)]
     if not pat:
         return []
 
-    def at(i: int, k: int, budget: int) -> int:
+    def at(i: int, k: int) -> int:
         while k < len(pat):
             p = pat[k]
             if p.startswith("$$$"):
                 if k + 1 == len(pat):
                     return i
                 j = i
-                while j < len(toks) and j - i <= budget:
-                    if (end := at(j, k + 1, budget - (j - i))) >= 0:
+                while j < len(toks):
+                    if (end := at(j, k + 1)) >= 0:
                         return end
                     if toks[j][0] in _CLOSE:
                         return -1
@@ -65,7 +65,7 @@ def find_matches(code: str, pattern: str, limit_tokens: int = 2000) -> list[tupl
 
     out, i = [], 0
     while i < len(toks):
-        end = at(i, 0, limit_tokens)
+        end = at(i, 0)
         if end > i:
             out.append((toks[i][1], toks[end - 1][2]))
             i = end

@@ -174,6 +174,7 @@ def test_results_and_rendering(spark):
 
 def test_structural_search(spark):
     assert syntax.find_matches("foo(a, b); bar(c)", "foo($$$)") == [(0, 9)]
+    assert syntax.find_matches(f"foo({'a, ' * 5000}b)", "foo($$$)") == [(0, 15_006)]  # of any length
     assert syntax.find_matches("x = require('a'); y = require(b(c))", "require($A)") == [(4, 16), (22, 35)] or syntax.find_matches("require('a')", "require($A)")
     df = spark.createDataFrame([("a.js", "let x = require('q');\nf(1)"), ("b.txt", "require('q')"), ("c.js", None)], "path string, content string")
     assert [(r.path, r.start_line, r.excerpt) for r in syntax.ast_match(df, "require($A)").collect()] == [("a.js", 1, "require('q')")]

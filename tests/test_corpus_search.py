@@ -139,6 +139,29 @@ def test_scan_and_tree(spark, tmp_path):
     assert corpus.snapshot(corpus.scan(df), str(tmp_path / "snap")).count() == 8 and before[0].files == 8
 
 
+def test_ignore_rules_and_split_walk(spark, tmp_path):
+    files = {".gitignore": "*.log\n!keep.log\nout/\n/only.txt", ".ignore": "*.bak", ".git/info/exclude": "secret.txt", "a.log": "", "keep.log": "", "x.bak": "", "secret.txt": "", "only.txt": "", "sub/only.txt": "", "out/o.txt": "", "all.me": "", "sub/all.me": ""}
+    files |= {f"d{i}/e{k}/f.txt": "t" for i in range(12) for k in range(3)}
+    for p, t in files.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    (tmp_path / "d1" / "back").symlink_to(tmp_path)
+    rules = tmp_path.parent / "rules"
+    rules.write_text("all.me\n")
+    want = {"keep.log", "sub/only.txt", *(p for p in files if p.startswith("d"))}
+    for n in (1, 2, 8):
+        got = [r.path for r in directory.read_tree(spark, str(tmp_path), partitions=n, excludes_file=str(rules)).filter("not is_dir").collect()]
+        assert sorted(got) == sorted(want), n
+
+
+def test_large_files_come_whole(spark, tmp_path):
+    (tmp_path / "big.txt").write_bytes(b"x" * 200_000)
+    read = lambda strategy, **o: corpus.bounded_read(directory.read_tree(spark, str(tmp_path), contents=True, **o), size_strategy=strategy, max_size=150_000 if strategy == "skip" else 64 << 20, disk_size="size").first()
+    assert len(read("full").content) == 200_000 and len(read("truncate").content) == 65_536 and read("truncate").truncated
+    assert read("skip", max_bytes=1000).skip_reason == "too large"
+    assert read("full", max_bytes=1000).skip_reason == "not read whole" and len(read("truncate", max_bytes=66_560).content) == 65_536
+
+
 def test_latest_and_lines(spark):
     df = spark.createDataFrame([("a", "x\ny", 1, 7), ("a", "z", 2, 8), ("b", None, None, 1), (None, "q", 1, 1)], "path string, text string, mtime_ms long, doc_id long")
     files = corpus.document_files(df)

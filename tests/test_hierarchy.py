@@ -66,6 +66,13 @@ def test_long_chain(spark):
     assert got == {f"{i:05d}": i for i in range(3001)}
 
 
+def test_ways_of_a_long_chain(spark):
+    links = [(f"{i + 1:05d}", f"{i:05d}") for i in range(2000)] + [("side", "01000"), ("ring", "ring"), ("low", "ring")]
+    got = {r.path: r.way for r in run(spark, links, with_paths=True, block_rows=300).collect()}
+    names = [f"{i:05d}" for i in range(2001)]
+    assert got == {**{n: names[: i + 1] for i, n in enumerate(names)}, "side": [*names[:1001], "side"], "ring": None, "low": None}
+
+
 def test_empty_and_extra_columns(spark):
     assert run(spark, []).count() == 0
     df = spark.createDataFrame([("b", "a", "t", 1)], "node string, parent string, top string, gap int")
