@@ -99,17 +99,24 @@ def neighbors(anchors: DataFrame, anchor_id: str, most: int) -> DataFrame:
 
 
 def lint(files: DataFrame, large: int = LARGE_LINES) -> DataFrame:
-    """``code, severity, path, line_no, id, n``: unpaired, empty, large and repeated blocks."""
+    """``code, severity, path, line_no, id, n``: unpaired, empty, large and repeated blocks.
+
+    Markers are paired once; every pair gives the findings that hold for it, and how often ids occur is counted before it
+    is looked up.
+    """
     pairs = paired(markers(files))
-    row = lambda code, severity, n: (F.lit(code).alias("code"), F.lit(severity).alias("severity"), "path", "line_no", "id", n.cast("bigint").alias("n"))
-    one = F.lit(1)
-    unpaired = pairs.filter("state <> 'anchor'").select(F.upper("state").alias("code"), F.lit("error").alias("severity"), "path", "line_no", "id", one.cast("bigint").alias("n"))
-    blocks = pairs.filter("state = 'anchor'").withColumn("size", F.col("end_no") - F.col("line_no") - 1)
-    empty = blocks.filter("size <= 0").select(*row("EMPTY_ANCHOR", "warning", F.lit(0)))
-    big = blocks.filter(F.col("size") > large).select(*row("LARGE_ANCHOR", "warning", F.col("size")))
-    several = blocks.groupBy(F.col("id").alias("_id")).agg(F.count(one).alias("times")).filter("times > 1")
-    twice = blocks.join(several, F.col("id") == F.col("_id")).select(*row("DUPLICATE_ID", "error", F.col("times")))
-    return unpaired.unionByName(empty).unionByName(big).unionByName(twice)
+    blocks = F.col("state") == "anchor"
+    several = pairs.filter(blocks).groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    size = F.col("end_no") - F.col("line_no") - 1
+    found = lambda when, code, severity, n: F.when(when, F.struct(code.alias("code"), F.lit(severity).alias("severity"), n.cast("bigint").alias("n")))
+    each = F.array(
+        found(~blocks, F.upper("state"), "error", F.lit(1)),
+        found(blocks & (size <= 0), F.lit("EMPTY_ANCHOR"), "warning", F.lit(0)),
+        found(blocks & (size > large), F.lit("LARGE_ANCHOR"), "warning", size),
+        found(blocks & F.col("_times").isNotNull(), F.lit("DUPLICATE_ID"), "error", F.col("_times")),
+    )
+    rows = pairs.join(several, F.col("id") == F.col("_id"), "left").select("path", "line_no", "id", F.inline(F.array_compact(each)))
+    return rows.select("code", "severity", "path", "line_no", "id", "n")
 
 
 def drifted(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -92,6 +92,21 @@ def extract(files: DataFrame, start: int, end: int, max_bytes: int = EXTRACT_BYT
     return folded.select("path", F.lit(start).cast("bigint").alias("range_start"), F.col("x.last").alias("range_end"), F.col("x.t").alias("excerpt"), F.col("x.cut").alias("truncated"))
 
 
+def line_range(text: str) -> tuple[int, int]:
+    """The lines that ``start:end`` names, counted from 1; an error if it isn't of that form or runs backwards."""
+    parts = text.split(":")
+    if len(parts) != 2:
+        raise ValueError(f"expected 'start:end', got {text!r}")
+    if not all(p.isascii() and p.isdigit() for p in parts):
+        raise ValueError(f"lines are numbers, got {text!r}")
+    start, end = map(int, parts)
+    if start > end:
+        raise ValueError(f"start {start} is after end {end}")
+    if start == 0:
+        raise ValueError("lines are counted from 1")
+    return start, end
+
+
 def bounded_read(
     files: DataFrame, raw: str = "raw", size_strategy: str = "truncate", encoding_strategy: str = "lossy", max_size: int = MAX_FILE_SIZE, truncate_size: int = TRUNCATE_SIZE, disk_size: str | None = None
 ) -> DataFrame:

@@ -171,7 +171,7 @@ def impacts(graph: DataFrame, changed: DataFrame, max_depth: int = 3) -> DataFra
     start = changed.select("path").filter("path is not null").distinct()
     seen = cut_lineage(start.withColumn("steps", F.lit(0)))
     front = seen
-    back = graph.select(F.col("dst").alias("path"), "src").distinct()
+    back = cut_lineage(graph.select(F.col("dst").alias("path"), "src").distinct())  # read once, whatever it comes from
     for k in range(1, max_depth + 2):
         new = front.join(back, "path").select(F.col("src").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("steps", F.lit(k))
         new = cut_lineage(new)

@@ -53,6 +53,20 @@ def raw(results: DataFrame) -> DataFrame:
     return results.filter("excerpt is not null").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("path", F.lit("~")).alias("p"), F.coalesce(F.col("range.start"), F.lit(0)).alias("s"), F.col("excerpt").alias("e")))), lambda x: x["e"]), "\n---\n").alias("text"))
 
 
+def json_array(results: DataFrame) -> DataFrame:
+    """One row ``text``: all rows in order as one JSON array. For results that a driver may hold."""
+    key = F.struct(F.coalesce("path", F.lit("\U0010ffff")).alias("p"), F.coalesce(F.col("range.start"), F.lit((1 << 63) - 1)).alias("s"), F.to_json(F.struct(*results.columns)).alias("j"))
+    return results.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["j"]), ","), F.lit("]")).alias("text"))
+
+
+def written(results: DataFrame, form: str = "jsonl") -> DataFrame:
+    """The rows in a format: ``jsonl``, ``json``, ``md`` or ``raw``; another name is an error."""
+    forms = {"jsonl": jsonl, "json": json_array, "md": markdown, "markdown": markdown, "raw": raw}
+    if form.lower() not in forms:
+        raise ValueError(f"unknown format {form!r}; known are {', '.join(sorted(forms))}")
+    return forms[form.lower()](results)
+
+
 def dot(graph: DataFrame) -> DataFrame:
     """``place, line``: the graph in DOT, one line a node or edge, nodes by their names."""
     q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.paths import base_name
 from loomspark.operators import anchors as A
+from loomspark.operators import rows as R
 from loomspark.plans.corpus import docs_of
-from loomspark.plans.sql import BLOCKS, DOCS, EXT, MARKED, MARKS, TAGS
+from loomspark.plans.sql import BLOCKS, DOCS, EXT, MARKED, MARKS, TAGS, parts
 from loomspark.sources.tables import table
 
 
-def marked(files: DataFrame) -> DataFrame:
-    """Files with two blocks set in each: lines 1 to 3, and line 2 inside of them; a third is out of range and fails."""
+def specs_of(files: DataFrame) -> DataFrame:
+    """Two blocks for each file, lines 1 to 3, and line 2 inside of them; a third is out of range and fails."""
     spec = lambda a, b, i, t, v: F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line"), i.alias("id"), t.cast("array<string>").alias("tags"), F.lit(v).alias("version"))
-    specs = files.select(
+    return files.select(
         "path",
         F.inline(F.array(
             spec(1, 3, F.concat(F.lit("outer."), base_name(F.col("path"))), F.array(F.lit("scan"), F.substring_index("path", "/", 1)), 3),
@@ -23,7 +24,11 @@ def marked(files: DataFrame) -> DataFrame:
             spec(500_000, 500_001, F.lit("far"), F.array(), 1),
         )),
     )
-    return A.mark(files, specs)
+
+
+def marked(files: DataFrame) -> DataFrame:
+    """Files with these blocks set."""
+    return A.mark(files, specs_of(files))
 
 
 def marked_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,6 +99,17 @@ def _lint(*codes: str):
     return lambda spark, folder: lint_all(spark, folder).filter(F.col("code").isin(*codes))
 
 
+def lint_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings as the command reports them."""
+    return R.lint_rows(lint_all(spark, folder)).select("kind", "path", F.col("range.start").alias("line_no"), "excerpt", "confidence", F.col("errors")[0]["code"].alias("code"))
+
+
+def mark_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What setting the marks reports of each."""
+    docs = docs_of(spark, folder)
+    return R.mark_rows(docs, specs_of(docs)).select("kind", "path", F.col("range.start").alias("first_line"), F.col("range.end").alias("last_line"), "excerpt", "confidence")
+
+
 def anchors_mark(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with marks set."""
     return marked(docs_of(spark, folder)).select("path", "new_content", "marks", "failed")
@@ -119,6 +135,7 @@ SELECT upper(state) AS code, 'error' AS severity, path, line_no, id, CAST(1 AS B
 UNION ALL SELECT 'EMPTY_ANCHOR', 'warning', path, line_no, id, 0 FROM b WHERE size <= 0
 UNION ALL SELECT 'LARGE_ANCHOR', 'warning', path, line_no, id, size FROM b WHERE size > 2
 UNION ALL SELECT 'DUPLICATE_ID', 'error', path, line_no, id, times FROM b WHERE times > 1)"""
+_BLOCK = "('Anchor ' || chr(39) || coalesce(id, '?') || chr(39))"
 _GIVEN = "a AS (SELECT id, coalesce(tags, []) AS tags, version, path, start_line, end_line, content FROM anchors), one AS (SELECT min(id) AS id FROM anchors)"
 _LAST = "SELECT a.* FROM a JOIN one USING (id) ORDER BY path DESC, end_line DESC, start_line DESC LIMIT 1"
 _EXTS = ", ".join(f"'{e}'" for e in A.EXTENSIONS)
@@ -136,6 +153,8 @@ QUERIES = {
     "lint_unpaired": _lint("UNPAIRED_BEGIN", "UNPAIRED_END"),
     "lint_empty_large": _lint("EMPTY_ANCHOR", "LARGE_ANCHOR"),
     "lint_duplicate": _lint("DUPLICATE_ID"),
+    "lint_rows": lint_rows,
+    "mark_rows": mark_rows,
     "anchors_mark": anchors_mark,
     "anchors_unmark": anchors_unmark,
     "anchors_drift": anchors_drift,
@@ -154,6 +173,13 @@ ORDER BY shared DESC, a.path, a.end_line, a.start_line, a.id LIMIT 20""",
     "lint_unpaired": f"WITH {_LINT} SELECT * FROM found WHERE code IN ('UNPAIRED_BEGIN', 'UNPAIRED_END')",
     "lint_empty_large": f"WITH {_LINT} SELECT * FROM found WHERE code IN ('EMPTY_ANCHOR', 'LARGE_ANCHOR')",
     "lint_duplicate": f"WITH {_LINT} SELECT * FROM found WHERE code = 'DUPLICATE_ID'",
+    "lint_rows": f"""WITH {_LINT} SELECT 'error' AS kind, path, line_no, CASE code WHEN 'EMPTY_ANCHOR' THEN {_BLOCK} || ' is empty' WHEN 'LARGE_ANCHOR' THEN {_BLOCK} || ' has ' || n || ' lines'
+WHEN 'DUPLICATE_ID' THEN replace({_BLOCK}, 'Anchor ', 'Anchor id ') || ' is used ' || n || ' times' ELSE replace({_BLOCK}, 'Anchor ', code || ' ') END AS excerpt, CASE severity WHEN 'error' THEN 'high' ELSE 'medium' END AS confidence, code FROM found""",
+    "mark_rows": f"""WITH {DOCS}, s AS (SELECT unnest([1, 2, 500000]) AS s, unnest([3, 2, 500001]) AS e),
+x AS (SELECT path, s, e, CASE s WHEN 1 THEN 'outer.' || regexp_extract(path, '[^/]*$') WHEN 2 THEN 'inner' ELSE 'far' END AS id, len({parts('content')}) AS n FROM d CROSS JOIN s),
+y AS (SELECT *, s > n + 1 AS bad FROM x)
+SELECT CASE WHEN bad THEN 'error' ELSE 'anchor' END AS kind, path, CASE WHEN NOT bad THEN CAST(s AS BIGINT) END AS first_line, CASE WHEN NOT bad THEN CAST(e + 2 AS BIGINT) END AS last_line,
+CASE WHEN bad THEN 'Start line ' || s || ' is past the end of the file' ELSE 'Anchor ' || chr(39) || id || chr(39) || ' marked successfully' END AS excerpt, CASE WHEN bad THEN 'low' ELSE 'high' END AS confidence FROM y""",
     "anchors_mark": f"WITH {MARKED} SELECT path, content AS new_content, CASE WHEN n >= 1 THEN 2 ELSE 1 END AS marks, CASE WHEN n >= 1 THEN 1 ELSE 2 END AS failed FROM d",
     "anchors_unmark": f"""WITH {MARKS}, k AS (SELECT path, min(id) AS id FROM m WHERE id <> '' GROUP BY 1),
 h AS (SELECT l.path, k.id, line_no, text, regexp_matches(text, '^\\s*<!--\\s*Q:begin\\s+id=' || regexp_escape(k.id) || '[\\s-]') AS b, regexp_matches(text, '^\\s*<!--\\s*Q:end\\s+id=' || regexp_escape(k.id) || '[\\s-]') AS e FROM l JOIN k USING (path)),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.paths import lexical_path
 from loomspark.operators import deps as D
 from loomspark.operators import results
+from loomspark.operators import rows as R
 from loomspark.operators.syntax import ast_match
 from loomspark.operators.anchors import parse
 from loomspark.plans.anchors import marked
@@ -73,6 +74,21 @@ def impact_summary(spark: SparkSession, folder: str) -> DataFrame:
     return impact(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("steps").cast("int").alias("furthest"))
 
 
+def deps_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The names that the dependency rows of all files list, in both directions."""
+    known = table(spark, folder, "imports").select(lexical_path(F.col("src")).alias("path"), F.lower("language").alias("language"))
+    rows = R.dependency_rows(graph_of(spark, folder), known)
+    data = F.from_json("data", "depends_on array<string>, depended_by array<string>, language string")
+    each = rows.select("path", data.alias("d"))
+    return each.select("path", F.when(F.col("d.depends_on").isNotNull(), "depends_on").otherwise("depended_by").alias("way"), "d.language", F.explode_outer(F.coalesce("d.depends_on", "d.depended_by")).alias("name"))
+
+
+def deps_cycle_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """An error row for each cycle."""
+    rows = R.cycle_rows(deps_cycles(spark, folder))
+    return rows.select("kind", "path", "confidence", F.col("errors")[0]["code"].alias("code"), F.col("errors")[0]["message"].alias("message"), "data")
+
+
 def ast_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Calls of one form in JavaScript files."""
     return ast_match(files_of(spark, folder).select("path", "content"), "require($A)")
@@ -113,6 +129,8 @@ QUERIES = {
     "deps_forward": graph_of,
     "deps_reverse": lambda spark, folder: D.reverse(graph_of(spark, folder)),
     "deps_cycles": deps_cycles,
+    "deps_rows": deps_rows,
+    "deps_cycle_rows": deps_cycle_rows,
     "deps_dot": lambda spark, folder: results.dot(graph_of(spark, folder)),
     "deps_mermaid": lambda spark, folder: results.mermaid(graph_of(spark, folder)),
     "deps_tree": lambda spark, folder: results.tree(graph_of(spark, folder)),
@@ -133,6 +151,12 @@ SELECT src, language, line, t AS import_text, {_MODULE} AS module FROM y WHERE {
     "deps_reverse": f"WITH {EDGES} SELECT dst AS path, src AS used_by FROM g WHERE dst IN (SELECT src FROM g)",
     "deps_cycles": f"""WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON g.src = r.dst), own AS (SELECT src FROM r WHERE src = dst)
 SELECT r.src AS path, min(r.dst) AS cycle FROM r JOIN own ON own.src = r.src JOIN r b ON b.src = r.dst AND b.dst = r.src GROUP BY 1""",
+    "deps_rows": f"""WITH {EDGES}, k AS (SELECT {place('src')} AS path, min(lower(language)) AS language FROM imports GROUP BY 1), w AS (SELECT unnest(['depends_on', 'depended_by']) AS way),
+t AS (SELECT src AS path, 'depends_on' AS way, dst AS name FROM g UNION ALL SELECT dst, 'depended_by', src FROM g)
+SELECT k.path, w.way, k.language, t.name FROM k CROSS JOIN w LEFT JOIN t ON t.path = k.path AND t.way = w.way WHERE k.path IS NOT NULL""",
+    "deps_cycle_rows": f"""WITH RECURSIVE {EDGES}, r AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON g.src = r.dst), own AS (SELECT src FROM r WHERE src = dst),
+c AS (SELECT r.src AS path, min(r.dst) AS cycle FROM r JOIN own ON own.src = r.src JOIN r b ON b.src = r.dst AND b.dst = r.src GROUP BY 1), l AS (SELECT cycle, list_sort(list(path)) AS names, count(*) AS n FROM c GROUP BY 1)
+SELECT 'error' AS kind, cycle AS path, 'high' AS confidence, 'CIRCULAR_DEPENDENCY' AS code, 'Circular dependency detected: ' || array_to_string(names, ' -> ') AS message, CAST(to_json({{'cycle': names, 'cycle_length': n}}) AS VARCHAR) AS data FROM l""",
     "deps_dot": f"""WITH {EDGES}, n AS (SELECT src AS n FROM g UNION SELECT dst FROM g)
 SELECT 0 AS part, 'digraph dependencies {{' AS line UNION ALL SELECT 3, '}}' UNION ALL SELECT 1, '  "' || n || '" [label="' || regexp_extract(n, '[^/]*$') || '"];' FROM n UNION ALL SELECT 2, '  "' || src || '" -> "' || dst || '";' FROM g""",
     "deps_mermaid": f"""WITH {EDGES}, n AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS id FROM (SELECT src AS n FROM g UNION SELECT dst FROM g))
