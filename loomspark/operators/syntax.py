@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.deps import language_of
 
-_TOKEN = re.compile(r"\$\$\$\w*|\$[A-Z_]+|[A-Za-z_]\w*|\d[\w.]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|->|=>|::|==|!=|<=|>=|&&|\|\||\S")
+_TOKEN = re.compile(r"\$\$\$\w*|\$[A-Z_]+|[A-Za-z_]\w*|\d[\w.]*|```|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|->|=>|::|==|!=|<=|>=|&&|\|\||\S")
 _OPEN, _CLOSE = "([{", ")]}"
 
 

@@ -33,6 +33,13 @@ def _scan(**options):
     return lambda spark, folder: corpus.scan(entries_of(spark, folder), **options)
 
 
+def scan_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries below the first folder."""
+    entries = entries_of(spark, folder)
+    first = entries.filter("contains(path, '/') and not startswith(path, '.')").agg(F.min(F.substring_index("path", "/", 1))).first()[0]
+    return corpus.scan(entries, scope=first or "none")
+
+
 def _match(pattern: str, **options):
     return lambda spark, folder: search.match(docs_of(spark, folder), pattern, **options)
 
@@ -154,7 +161,7 @@ QUERIES = {
     "scan_dirs": _scan(kind="dir"),
     "scan_depth": _scan(max_depth=2),
     "scan_hidden": _scan(hidden=True),
-    "scan_scope": _scan(scope="shared-core"),
+    "scan_scope": scan_scope,
     "glob_include": _scan(include=["*.rs", "shared-core/*"]),
     "glob_exclude": _scan(exclude=["*.md", "src*plan"]),
     "find_path": lambda spark, folder: corpus.find(entries_of(spark, folder), "PLAN"),
@@ -186,7 +193,7 @@ SQL = {
     "scan_dirs": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND is_dir",
     "scan_depth": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND depth <= 2",
     "scan_hidden": f"WITH {FILES} SELECT {_SCANNED}",
-    "scan_scope": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND starts_with(path, 'shared-core/')",
+    "scan_scope": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND starts_with(path, (SELECT min(split_part(path, '/', 1)) FROM f WHERE contains(path, '/') AND NOT starts_with(path, '.')) || '/')",
     "glob_include": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND (path LIKE '%.rs' OR path LIKE 'shared-core/%')",
     "glob_exclude": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND NOT (path LIKE '%.md' OR (path LIKE '%src%' AND path LIKE '%plan%'))",
     "find_path": f"WITH {FILES} SELECT {_SCANNED} {_SHOWN} AND NOT is_dir AND path ILIKE '%plan%'",

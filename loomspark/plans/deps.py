@@ -90,7 +90,7 @@ def deps_cycle_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ast_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls of one form in JavaScript files."""
+    """Calls of one form in code files."""
     return ast_match(files_of(spark, folder).select("path", "content"), "require($A)")
 
 
@@ -168,5 +168,8 @@ SELECT n.src, n, CASE WHEN length(deps) > 40 THEN left(deps, 37) || '...' ELSE c
     "impact_anchors": _IMPACT
     + f""", {_LATEST.replace("f AS", "ff AS", 1)}, b AS (SELECT path FROM ff WHERE content IS NOT NULL AND path IN (SELECT path FROM k) AND {EXT} IN ({", ".join(repr(e) for e in D.IMPACT_EXTENSIONS)}))
 SELECT DISTINCT 'outer.' || regexp_extract(path, '[^/]*$') AS id FROM b UNION SELECT DISTINCT 'inner' FROM ff WHERE content <> '' AND path IN (SELECT path FROM b)""",
+    "ast_calls": f"""WITH {_LATEST}, x AS (SELECT path, string_split(content, chr(10)) AS p FROM f WHERE content IS NOT NULL AND {_LANG} IS NOT NULL),
+y AS (SELECT path, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS t FROM x)
+SELECT path, n AS start_line, n AS end_line, unnest(regexp_extract_all(t, 'require\\(''[^'']*''\\)')) AS excerpt FROM y""",
     "impact_summary": _IMPACT + " SELECT kind, count(*) AS n, max(steps) AS furthest FROM k GROUP BY 1",
 }
